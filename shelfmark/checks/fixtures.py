@@ -167,17 +167,21 @@ select cast(user_id as varchar) as id, event_type as source, event_id as line_no
        case event_type when 'purchase' then 0 when 'click' then 1 else 2 end as source_no,
        case when event_id%4=0 then '' else props end as "008",
        cast(cast(floor(value) as bigint)%20 as varchar) || ' $|$ ' || cast(cast(floor(value*10) as bigint)%20 as varchar) as "650",
-       case when event_id%3=0 then '' else event_type || ' $|$ ' || cast(event_id%5 as varchar) end as "072"
-from events)"""
+       case when event_id%3=0 then '' else event_type || ' $|$ ' || cast(event_id%5 as varchar) end as "072",
+       ' ' || coalesce(n_name, 'Nowhere ' || cast(event_id%3 as varchar)) as "653"
+from events left join nation on n_nationkey=event_id%30)"""
 
-SOURCE_FIELDS = ["008", "650", "072"]
+SOURCE_FIELDS = ["008", "072", "650", "653"]
 
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """Record lines: one per event; the user is the record id, the event type tells source and priority."""
     kind, number = F.col("event_type"), F.col("event_id")
     digits = lambda e: (F.floor(e).cast("bigint") % 20).cast("string")
-    return table(spark, sf, "events").select(
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("_k"), "n_name")
+    nowhere = F.concat(F.lit("Nowhere "), (number % 3).cast("string"))
+    events = table(spark, sf, "events").withColumn("_k", number % 30).join(names, "_k", "left")
+    return events.select(
         F.col("user_id").cast("string").alias("id"),
         kind.alias("source"),
         number.alias("line_no"),
@@ -188,6 +192,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
         F.when(number % 3 == 0, F.lit(""))
         .otherwise(F.concat_ws(" $|$ ", kind, (number % 5).cast("string")))
         .alias("072"),
+        F.concat(F.lit(" "), F.coalesce("n_name", nowhere)).alias("653"),
     )
 
 

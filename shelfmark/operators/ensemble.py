@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.evaluate import label_counts, _with_prf
+from shelfmark.operators.evaluate import label_counts, with_prf
 from shelfmark.operators.nbest import UNCLASSIFIED
 from shelfmark.operators.skew import DOC, salted_join
 from shelfmark.session import bounded_rows, cut
@@ -85,7 +85,7 @@ def automatic_weights(votes: DataFrame, trained: DataFrame, n_targets: int | Non
     ``votes`` is ``classifier_id, fold, doc, target, predicted``; ``trained`` holds ``classifier_id, target`` for the
     documents the classifier was given. A class missing in a fold is left out of its mean, one never seen weighs 0.
     """
-    f1 = _with_prf(label_counts(votes, ("classifier_id", "fold"))).groupBy("classifier_id", "target").agg(
+    f1 = with_prf(label_counts(votes, ("classifier_id", "fold"))).groupBy("classifier_id", "target").agg(
         F.avg("f1").alias("_f1")
     )
     seen = trained.groupBy("classifier_id").agg(F.count_distinct("target").alias("_seen"))
@@ -103,18 +103,18 @@ def training_report(kinds: DataFrame) -> DataFrame:
 
 
 def confusion_shares(pred: DataFrame) -> DataFrame:
-    """``predicted, true, share``: how often a prediction really means each class. Only non-zero cells."""
-    cells = pred.groupBy("predicted", F.col("target").alias("true")).agg(F.count(F.lit(1)).alias("n"))
+    """``predicted, meant, share``: how often a prediction really means each class. Only non-zero cells."""
+    cells = pred.groupBy("predicted", F.col("target").alias("meant")).agg(F.count(F.lit(1)).alias("n"))
     totals = cells.groupBy("predicted").agg(F.sum("n").alias("_all"))
-    return cells.join(totals, "predicted").select("predicted", "true", (F.col("n") / F.col("_all")).alias("share"))
+    return cells.join(totals, "predicted").select("predicted", "meant", (F.col("n") / F.col("_all")).alias("share"))
 
 
-def redistribute(scores: DataFrame, shares: DataFrame, keys=(DOC,)) -> DataFrame:
+def redistribute(scores: DataFrame, shares: DataFrame, doc: str = DOC) -> DataFrame:
     """One redistribution step: each confidence is spread over the classes its prediction stands for."""
-    lookup = shares.select(F.col("predicted").alias("target"), "true", "share")
+    lookup = shares.select(F.col("predicted").alias("target"), "meant", "share")
     positive = scores.filter(F.abs("confidence") > 1e-8)
-    spread = salted_join(positive, lookup, ["target"], [keys[-1]])
-    return spread.groupBy(*keys, F.col("true").alias("target")).agg(
+    spread = salted_join(positive, lookup, ["target"], [doc])
+    return spread.groupBy(doc, F.col("meant").alias("target")).agg(
         F.sum(F.col("confidence") * F.col("share")).alias("confidence")
     )
 
@@ -137,9 +137,9 @@ def learn_redistribution(scores: DataFrame, truth: DataFrame, doc: str = DOC, pa
     tables, best_count, left = [], 0, patience
     while left > 0 and best_accuracy < 1:
         shares = bounded_rows(confusion_shares(pred), max_cells, "confusion cells")
-        shares = scores.sparkSession.createDataFrame(shares, "predicted string, true string, share double")
+        shares = scores.sparkSession.createDataFrame(shares, "predicted string, meant string, share double")
         tables.append(shares)
-        scores = cut(redistribute(scores, shares, (doc,)))
+        scores = cut(redistribute(scores, shares, doc))
         pred, accuracy = evaluate(scores)
         if accuracy > best_accuracy:
             best_accuracy, best_count, left = accuracy, len(tables), patience
@@ -150,5 +150,5 @@ def learn_redistribution(scores: DataFrame, truth: DataFrame, doc: str = DOC, pa
 
 def apply_redistribution(scores: DataFrame, tables: list[DataFrame], doc: str = DOC) -> DataFrame:
     for shares in tables:
-        scores = redistribute(scores, shares, (doc,))
+        scores = redistribute(scores, shares, doc)
     return scores

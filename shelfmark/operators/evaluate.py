@@ -46,7 +46,7 @@ def label_counts(pred: DataFrame, by=("fold",)) -> DataFrame:
     )
 
 
-def _with_prf(counts: DataFrame) -> DataFrame:
+def with_prf(counts: DataFrame) -> DataFrame:
     p = F.when(F.col("n_predicted") > 0, F.col("tp") / F.col("n_predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     f = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("n_predicted") + F.col("support"))).otherwise(F.lit(0.0))
@@ -55,33 +55,31 @@ def _with_prf(counts: DataFrame) -> DataFrame:
 
 def target_scores(pred: DataFrame, train_counts: DataFrame | None = None, by=("fold",)) -> DataFrame:
     """Precision, recall, F1, support and number of training documents per true target."""
-    scores = _with_prf(label_counts(pred, by)).filter(F.col("support") > 0).drop("tp", "n_predicted")
+    scores = with_prf(label_counts(pred, by)).filter(F.col("support") > 0).drop("tp", "n_predicted")
     if train_counts is None:
         return scores
     joined = scores.join(train_counts, [*by, "target"], "left")
     return joined.withColumn("n_train", F.coalesce("n_train", F.lit(0)))
 
 
-def train_counts(pred: DataFrame) -> DataFrame:
-    """Training documents per fold and target when each fold is trained on the other folds."""
+def train_counts(pred: DataFrame, folds: int) -> DataFrame:
+    """Training documents per fold and target when each fold 0..k-1 is trained on the other folds."""
     own = pred.groupBy("fold", "target").agg(F.count(F.lit(1)).alias("n"))
-    return other_folds(own, ["target"]).groupBy("fold", "target").agg(F.sum("n").alias("n_train"))
+    return other_folds(own, folds).groupBy("fold", "target").agg(F.sum("n").alias("n_train"))
 
 
-def other_folds(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Pre-aggregated rows of every fold handed to all other folds; ``fold`` becomes the fold they train.
+def other_folds(sums: DataFrame, folds: int) -> DataFrame:
+    """Rows of every fold handed to all other folds; ``fold`` becomes the fold they train.
 
-    The fold list is read off the rows themselves, so nothing runs on the driver.
+    Meant for pre-aggregated rows, where the (k-1)-fold copy is small.
     """
-    folds = sums.groupBy().agg(F.collect_set("fold").alias("_folds"))
-    # one row holding the fold numbers
-    pairs = sums.withColumnRenamed("fold", "_own").join(F.broadcast(folds))
-    return pairs.withColumn("fold", F.explode("_folds")).filter(F.col("fold") != F.col("_own")).drop("_folds", "_own")
+    others = F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array(F.col("fold").cast("int")))
+    return sums.withColumn("fold", F.explode(others))
 
 
 def average_scores(pred: DataFrame) -> DataFrame:
     """Micro, macro and support-weighted precision, recall and F1 per fold, over true and predicted labels."""
-    s = _with_prf(label_counts(pred))
+    s = with_prf(label_counts(pred))
     total = F.sum("support")
     micro = F.sum("tp") / total
     weighted = lambda c: F.sum(F.col(c) * F.col("support")) / total
@@ -131,8 +129,8 @@ def top_n_accuracy(
 def confusion_matrix(pred: DataFrame) -> DataFrame:
     """Long confusion matrix with margins, marked ``All``; unclassified documents have their own label."""
     label = F.when(F.col("predicted") == "", F.lit(UNCLASSIFIED_LABEL)).otherwise(F.col("predicted"))
-    rows = pred.select("target", label.alias("predicted"))
-    cells = rows.cube("target", "predicted").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
+    rows = pred.groupBy("target", label.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.cube("target", "predicted").agg(F.sum("n").alias("n"), F.grouping_id().alias("_g"))
     return cells.select(
         F.when(F.col("_g").isin(2, 3), F.lit("All")).otherwise(F.col("target")).alias("target"),
         F.when(F.col("_g").isin(1, 3), F.lit("All")).otherwise(F.col("predicted")).alias("predicted"),

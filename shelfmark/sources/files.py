@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,16 +106,15 @@ def scan_hierarchy(spark: SparkSession, path: str, delimiter: str = HIERARCHY_DE
     return rows.groupBy("category").agg(F.max_by("path", "_order").alias("path"))
 
 
-def scan_text_folder(spark: SparkSession, folder: str, extension: str = ".txt") -> DataFrame:
-    """``id, fulltext`` from one file per document; lines are stripped and joined by one blank.
+def scan_text_folder(spark: SparkSession, folder: str, id_pattern: str = r"([^/]*)\.txt$") -> DataFrame:
+    """``id, fulltext`` from one file per document; lines are stripped and joined by one blank, empty files skipped.
 
-    A file with content but only blank lines keeps its blanks, as the line join would leave them.
+    ``id_pattern`` finds the id in the file path.
     """
-    files = spark.read.text(os.path.join(folder, f"*{extension}"), wholetext=True)
-    name = F.regexp_extract(F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)),
-                            f"^(.*){it.literal_regex(extension)}$", 1)
-    body = F.regexp_replace("value", "\r?\n\\z", "")
-    lines = F.transform(F.split(body, "\r?\n", -1), it.strip)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    name = F.regexp_extract(F.url_decode("_metadata.file_path"), id_pattern, 1)
+    body = F.regexp_replace("value", r"(\r\n|\r|\n)\z", "")
+    lines = F.transform(F.split(body, "\r\n|\r|\n", -1), it.strip)
     return files.filter(F.length("value") > 0).select(name.alias("id"), F.array_join(lines, " ").alias("fulltext"))
 
 

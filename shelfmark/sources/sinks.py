@@ -58,5 +58,11 @@ def write_libraries(df: DataFrame, path: str, fields: list[str]):
 
 
 def write_vertical(chunks: DataFrame, path: str):
-    """Vertical text in document and page order. Chunks carry their own line ends."""
-    chunks.orderBy("doc_id", "page_no").select(F.col("chunk").alias("value")).write.text(path, lineSep="")
+    """Vertical text in document and page order. A chunk ends with a line end, which the writer puts back."""
+    text = F.regexp_replace("chunk", "\n\\z", "")
+    chunks.orderBy("doc_id", "page_no").select(text.alias("value")).write.text(path)
+
+
+def write_merged(df: DataFrame, path: str):
+    """Merged records with a header, in id order."""
+    df.orderBy("id").write.csv(path, header=True, escape='"', emptyValue="")

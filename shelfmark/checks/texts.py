@@ -101,8 +101,8 @@ def g11(spark, sf):
 g as (select doc_idx, case when len(w)<3 then [array_to_string(w,'_')] else list_transform(range(1, len(w)-1), lambda i: array_to_string(w[i:i+2],'_')) end as g from w)
 select doc_idx, len(g) as n_grams, array_to_string(g,' ') as grams from g""")
 def g12(spark, sf):
-    grams = tx.text_ngrams(tx.words("fulltext"), 3)
-    return fx.docs(spark, sf).select(DOC, F.size(grams).cast("bigint").alias("n_grams"), F.array_join(grams, " ").alias("grams"))
+    d = fx.docs(spark, sf).select(DOC, tx.text_ngrams(tx.words("fulltext"), 3).alias("grams"))
+    return d.select(DOC, F.size("grams").cast("bigint").alias("n_grams"), F.array_join("grams", " ").alias("grams"))
 
 
 @query("g13_item_ngrams", f"""with {DOCS}, i as (select doc_idx, unnest(string_split(fulltext, '.')) as item, generate_subscripts(string_split(fulltext,'.'),1) as pos from fx_docs),
@@ -181,7 +181,7 @@ def g21(spark, sf):
 
 LEMMA_CHAIN = (
     TOKENS + ", c as (select doc_idx, string_agg(lemma, ' ' order by pos) as s from a where lemma not in (" + STOP_SQL
-    + ") and length(lemma)>=2 group by doc_idx) select d.doc_idx, upper(coalesce(s,'')) as fulltext from fx_docs d left join c using (doc_idx)"
+    + ") and length(lemma)>=2 group by doc_idx) select row_number() over (order by d.doc_idx)-1 as doc_idx, lower(coalesce(s,'')) as fulltext from fx_docs d left join c using (doc_idx)"
 )
 
 
@@ -192,7 +192,7 @@ def j01(spark, sf):
     d = fx.docs(spark, sf)
     sinks.write_texts(files.tokens(d), source)
     lines = files.number_lines(files.scan_texts(spark, source))
-    clean = lx.preprocess(lines, lexicon=fx.lexicon(spark, sf), lemmas=True, stop_words=STOP, min_length=2, case="upper")
+    clean = lx.preprocess(lines, lexicon=fx.lexicon(spark, sf), lemmas=True, stop_words=STOP, min_length=2, case="lower")
     sinks.write_text_lines(clean, out)
     return files.number_lines(files.scan_texts(spark, out))
 

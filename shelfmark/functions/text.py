@@ -119,6 +119,11 @@ def finish_text(tokens, stop_words, min_length, max_length, to_ascii, case) -> C
     return change_case(transliterate(text) if to_ascii else text, case)
 
 
+def bind(c: Column, body) -> Column:
+    """``body`` over the value of ``c``, computed once per row even where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def _grams(tokens: Column, n: int, glue: str) -> Column:
     if n == 1:
         many = tokens
@@ -132,26 +137,29 @@ def _grams(tokens: Column, n: int, glue: str) -> Column:
 
 def text_ngrams(tokens: str | Column, n: int) -> Column:
     """Word n-grams glued by '_'; a shorter text gives one gram of all its words."""
-    return _grams(col(tokens), n, "_")
+    return bind(col(tokens), lambda t: _grams(t, n, "_"))
 
 
 def item_ngrams(items: str | Column, n: int) -> Column:
     """Word n-grams of every item, glued by a blank, never across items."""
-    return F.flatten(F.transform(col(items), lambda x: _grams(words(x), n, " ")))
+    return F.flatten(F.transform(F.transform(col(items), words), lambda w: _grams(w, n, " ")))
 
 
 def word_parts(tokens: str | Column, max_words: int) -> Column:
     """Consecutive parts of at most ``max_words`` words; an empty text is one empty part."""
-    tokens = col(tokens)
-    last = F.greatest(F.ceil(F.size(tokens) / max_words).cast("int") - 1, F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            i.alias("part_no"),
-            F.slice(tokens, i * max_words + 1, F.lit(max_words)).alias("words"),
-            (i == last).alias("is_last"),
-        ),
-    )
+
+    def cut(words: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(words) / max_words).cast("int") - 1, F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                i.alias("part_no"),
+                F.slice(words, i * max_words + 1, F.lit(max_words)).alias("words"),
+                (i == last).alias("is_last"),
+            ),
+        )
+
+    return bind(col(tokens), cut)
 
 
 def join_hyphenated(c: str | Column) -> Column:

@@ -35,10 +35,11 @@ def _tagged(name: str, value: Column) -> Column:
 
 
 def _header() -> Column:
-    fields = [
-        F.array_join(F.transform(c, lambda v, n=name: _tagged(n, v)), "")
-        for name, c in zip(DUBLIN_CORE, dublin_core())
-    ]
+
+    def tagged(name: str, values: Column) -> Column:
+        return F.array_join(F.transform(values, lambda v: _tagged(name, v)), "")
+
+    fields = [tagged(name, values) for name, values in zip(DUBLIN_CORE, dublin_core())]
     return F.concat(F.lit("<doc>\n<meta_doc>"), *fields, F.lit(" </meta_doc>\n"))
 
 

@@ -35,7 +35,7 @@ def text_sets(spark, sf, fold):
     return terms.select("fold", DOC, "term", "value"), docs
 
 
-@query("i01_naive_bayes", FOLDED.format(fold="doc_idx%3") + BAYES.format(train="d.fold<>a.fold") + " select doc_idx, target, round(confidence, 6) as confidence from nb")
+@query("i01_naive_bayes", FOLDED.replace("{fold}", "doc_idx%3") + BAYES.format(train="d.fold<>a.fold") + " select doc_idx, target, round(confidence, 6) as confidence from nb")
 def i01(spark, sf):
     """Three cross-validated models in one job."""
     terms, docs = text_sets(spark, sf, F.col(DOC) % 3)
@@ -177,9 +177,9 @@ def i08(spark, sf):
     return linear.calibrate(rows, linear.fit_calibration(rows))
 
 
-AUTO = FOLDED.format(fold="doc_idx%4") + BAYES.format(train="d.fold<>a.fold") + """, p as (select nb.doc_idx, d.fold, d.target, nb.target as predicted, row_number() over (partition by nb.doc_idx order by confidence desc, nb.target) as rk from nb join d using (doc_idx)),
-v as (select * from p where rk=1), lab as (select fold, target as label from v union select fold, predicted from v),
-f as (select fold, label, (select count(*) from v where v.fold=lab.fold and v.target=label and v.predicted=label) as tp, (select count(*) from v where v.fold=lab.fold and v.target=label) as t, (select count(*) from v where v.fold=lab.fold and v.predicted=label) as np from lab)
+AUTO = FOLDED.replace("{fold}", "doc_idx%4") + BAYES.format(train="d.fold<>a.fold") + """, p as (select nb.doc_idx, d.fold, d.target, nb.target as predicted, row_number() over (partition by nb.doc_idx order by confidence desc, nb.target) as rk from nb join d using (doc_idx)),
+vt as (select * from p where rk=1), lab as (select fold, target as label from vt union select fold, predicted from vt),
+f as (select fold, label, (select count(*) from vt where vt.fold=lab.fold and vt.target=label and vt.predicted=label) as tp, (select count(*) from vt where vt.fold=lab.fold and vt.target=label) as t, (select count(*) from vt where vt.fold=lab.fold and vt.predicted=label) as np from lab)
 select 0 as classifier_id, label as target, round(avg(case when tp>0 then 2.0*tp/(t+np) else 0.0 end), 6) as weight from f group by label"""
 
 

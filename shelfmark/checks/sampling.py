@@ -23,7 +23,7 @@ def e04(spark, sf):
     return sampling.under_sample(labelled(spark, sf), 0.3, seed=5)
 
 
-@query("e05_over_sampling", RANKED + """, c as (select doc_idx, target, greatest(floor((greatest(ceil(largest*1.2)-size,0) - rank + size)/size), 0) as clones from r)
+@query("e05_over_sampling", RANKED.replace("|| cast(doc_idx as varchar)), 1, 15)", "|| cast(doc_idx as varchar) || ':' || '0'), 1, 15)") + """, c as (select doc_idx, target, greatest(floor((greatest(ceil(largest*1.2)-size,0) - rank + size)/size), 0) as clones from r)
 select doc_idx, target, cast(unnest(range(0, cast(clones as bigint)+1)) as int) as copy from c""")
 def e05(spark, sf):
     return sampling.over_sample(labelled(spark, sf), 1.2, seed=5)

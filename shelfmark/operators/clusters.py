@@ -17,7 +17,7 @@ MAX_CLUSTERS = 10_000
 
 def centroids(vectors: DataFrame, labels: DataFrame, doc: str = DOC) -> DataFrame:
     """``target, pos, value`` of dense vectors. Sums combine map-side, so a large class costs nothing extra."""
-    rows = vectors.join(labels.select(doc, "target"), doc).select("target", F.posexplode("vector").alias("pos", "x"))
+    rows = vectors.select(doc, "vector").join(labels.select(doc, "target"), doc).select("target", F.posexplode("vector").alias("pos", "x"))
     return rows.groupBy("target", "pos").agg(F.avg("x").alias("value"))
 
 
@@ -94,7 +94,7 @@ def match_clusters(counts: list, order: dict[str, list[int]]) -> dict[int, str]:
 
 def fit_kmeans(vectors: DataFrame, labels: DataFrame, seed: int = 0, iterations: int = 20, doc: str = DOC) -> DataFrame:
     """``target, cluster, vector``: k-means with one cluster per class, each cluster given to one class."""
-    train = vectors.join(labels.select(doc, "target"), doc)
+    train = vectors.select(doc, "vector").join(labels.select(doc, "target"), doc)
     names = [r[0] for r in bounded_rows(labels.select("target").distinct(), MAX_CLUSTERS, "classes")]
     ready = train.withColumn("_v", array_to_vector("vector"))
     model = KMeans(k=len(names), featuresCol="_v", predictionCol="cluster", seed=seed, maxIter=iterations).fit(ready)

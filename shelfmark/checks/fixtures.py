@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from shelfmark.functions import items as it
 from shelfmark.functions.items import SPACE_CLASS
 from shelfmark.functions.text import WORD_CHARS
-from shelfmark.operators.skew import DOC
+from shelfmark.operators.skew import DOC, exploded
+
+
+# tables with large rows, whose work per row is worth spreading when the file is a single split
+HEAVY = ("documents", "conversations", "embeddings", "pages")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. A heavy table that comes in fewer splits than there are cores is spread over them."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name not in HEAVY:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def strip_sql(e: str) -> str:
@@ -263,10 +273,10 @@ from (select unnest(regexp_extract_all(text,'[A-Za-z]+')) w from documents) wher
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
     w = F.col("form")
     return (
-        table(spark, sf, "documents").select(found.alias("form")).filter(F.length(w) % 4 != 0).distinct()
+        exploded(table(spark, sf, "documents"), [], found, "form").filter(F.length(w) % 4 != 0).distinct()
         .select(
             "form",
             F.lower(F.substring(w, F.lit(1), F.greatest(F.lit(1), F.length(w) - 2))).alias("lemma"),

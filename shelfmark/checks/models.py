@@ -13,6 +13,7 @@ from shelfmark.operators import features as ft
 from shelfmark.operators.evaluate import classified
 from shelfmark.operators.match import match_confidences
 from shelfmark.operators.skew import DOC
+from shelfmark.session import cut
 
 FOLDED = fc.TERMS + ", d as (select doc_idx, target, {fold} as fold from fx_docs where fulltext<>'')"
 
@@ -57,7 +58,7 @@ e as (select doc_idx, target, exp(s - max(s) over (partition by doc_idx)) as e f
 @query("e10_leave_one_out", LOO + " select doc_idx, target, round(e/sum(e) over (partition by doc_idx), 6) as confidence from e")
 def e10(spark, sf):
     """Naive Bayes over two metadata fields, every document scored by the model of all others, in one pass."""
-    df = fx.record_items(spark, sf)
+    df = cut(fx.record_items(spark, sf))  # read several times below
     docs = df.filter(F.size("target") > 0).select(DOC, F.get("target", F.lit(0)).alias("target"), F.lit(0).alias("fold"))
     kinds = {k: fc.KINDS[k] for k in ("status", "brand_grams")}
     terms = ft.count_vectors(ft.analyse_kinds(df, kinds)).select(F.lit(0).alias("fold"), DOC, "term", "value")

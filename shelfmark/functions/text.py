@@ -26,7 +26,7 @@ ASCII_FORMS = {
 
 def words(c: str | Column) -> Column:
     """Runs of non-space characters."""
-    return F.regexp_extract_all(col(c), F.lit(rf"[^{SPACE_CLASS}]+"), F.lit(0))
+    return F.array_remove(F.split(col(c), f"[{SPACE_CLASS}]+", -1), "")
 
 
 def normalise_spaces(c: str | Column) -> Column:
@@ -124,6 +124,21 @@ def bind(c: Column, body) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def count_terms(terms: str | Column) -> Column:
+    """Distinct terms of an array with their counts, as ``ARRAY<STRUCT<term, value DOUBLE>>``.
+
+    Sorting and run lengths stay inside the row, so counting the terms of a document needs no shuffle.
+    """
+
+    def runs(s: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        starts = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), first))
+        entry = lambda i, j: F.struct(F.get(s, i).alias("term"), (j - i).cast("double").alias("value"))
+        return bind(starts, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), entry))
+
+    return bind(F.sort_array(col(terms)), runs)
+
+
 def _grams(tokens: Column, n: int, glue: str) -> Column:
     if n == 1:
         many = tokens

@@ -12,19 +12,23 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import items as it
 from shelfmark.functions import text as tx
-from shelfmark.operators.skew import DOC, dense_index, salted_join
+from shelfmark.operators.skew import DOC, dense_index, exploded, lookup_join
 
 # Fixed value: default number of hash buckets.
 HASH_BUCKETS = 65_536
 
 # Analysers by name; n is the gram size.
 ANALYSERS = {
-    "whole_item": lambda c, n: it.col(c),
+    "whole_item": lambda c, n: c,
     "item_ngrams": tx.item_ngrams,
-    "text_ngrams": lambda c, n: tx.text_ngrams(tx.words(c), n),
+    "text_ngrams": tx.text_ngrams,
 }
 
 
+def _analyser(name: str, n: int):
+    return lambda items: F.when(F.size(items) > 0, ANALYSERS[name](items, n))
+
+
 def analyse_kinds(df: DataFrame, kinds: dict[str, tuple], keep=(DOC,)) -> DataFrame:
     """``keep, kind, terms`` for documents that are not empty in the kind, all kinds in one pass.
 
@@ -32,11 +36,10 @@ def analyse_kinds(df: DataFrame, kinds: dict[str, tuple], keep=(DOC,)) -> DataFr
     """
     parts = []
     for name, (column, analyser, n) in kinds.items():
-        text = dict(df.dtypes)[column] == "string"
-        empty = (F.size(tx.words(column)) <= 0) if text else it.is_empty(column)
-        terms = F.when(~F.coalesce(empty, F.lit(True)), ANALYSERS[analyser](column, n))
+        items = tx.words(column) if dict(df.dtypes)[column] == "string" else F.col(column)
+        terms = tx.bind(items, _analyser(analyser, n))
         parts.append(F.struct(F.lit(name).alias("kind"), terms.alias("terms")))
-    rows = df.select(*keep, F.inline(F.array(*parts)))
+    rows = exploded(df, list(keep), F.array(*parts), "kind", "terms", kind="inline")
     return rows.filter(F.col("terms").isNotNull())
 
 
@@ -45,13 +48,12 @@ def documents_per_kind(analysed: DataFrame, by=("kind",)) -> DataFrame:
 
 
 def count_vectors(analysed: DataFrame, keys=(DOC, "kind")) -> DataFrame:
-    """Occurrences per document and term. Equal terms of a document meet in the map-side combine of its own task."""
-    rows = analysed.select(*keys, F.explode("terms").alias("term"))
-    return rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    """Occurrences per document and term, counted inside each row: no shuffle."""
+    return exploded(analysed, list(keys), tx.count_terms("terms"), "term", "value", kind="inline")
 
 
 def inverse_frequencies(counts: DataFrame, n_docs: DataFrame, by=("kind",)) -> DataFrame:
-    """``by, term, idf`` with ln((1 + n) / (1 + df)) + 1. ``n_docs`` holds one row per kind (and fold)."""
+    """``by, term, df, idf`` with ln((1 + n) / (1 + df)) + 1. ``n_docs`` holds one row per kind (and fold)."""
     df = counts.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     # one row per kind and fold
     return frequencies_to_idf(df, n_docs, by)
@@ -59,7 +61,7 @@ def inverse_frequencies(counts: DataFrame, n_docs: DataFrame, by=("kind",)) -> D
 
 def frequencies_to_idf(df: DataFrame, n_docs: DataFrame, by=("kind",)) -> DataFrame:
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    return df.join(F.broadcast(n_docs), list(by)).select(*by, "term", idf.alias("idf"))
+    return df.join(F.broadcast(n_docs), list(by)).select(*by, "term", "df", idf.alias("idf"))
 
 
 def normalise(vectors: DataFrame, keys=(DOC, "kind")) -> DataFrame:
@@ -69,8 +71,8 @@ def normalise(vectors: DataFrame, keys=(DOC, "kind")) -> DataFrame:
 
 
 def tfidf(counts: DataFrame, idf: DataFrame, by=("kind",), keys=(DOC, "kind")) -> DataFrame:
-    """Weighted, normalised vectors. Terms outside the idf table are dropped; frequent terms are spread by salt."""
-    weighed = salted_join(counts, idf, [*by, "term"], [keys[0]])
+    """Weighted, normalised vectors; terms outside the idf table are dropped."""
+    weighed = lookup_join(counts, idf.select(*by, "term", "idf"), [*by, "term"])
     return normalise(weighed.withColumn("value", F.col("value") * F.col("idf")).drop("idf"), keys)
 
 
@@ -83,17 +85,42 @@ def portable_bucket(term: Column, buckets: int) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % buckets
 
 
+def hash_entries(terms: str | Column, buckets: int, bucket=term_bucket) -> Column:
+    """Normalised hash vector of a term list as ``ARRAY<STRUCT<term, value>>``, made inside the row."""
+    counted = tx.count_terms(F.transform(it.col(terms), lambda t: bucket(t, buckets)))
+
+    def scale(entries: Column) -> Column:
+        square = F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["value"] * e["value"])
+        return tx.bind(F.sqrt(square), lambda norm: F.transform(
+            entries, lambda e: F.struct(e["term"].alias("term"), (e["value"] / norm).alias("value"))
+        ))
+
+    return tx.bind(counted, scale)
+
+
 def hash_vectors(
     analysed: DataFrame, buckets: int = HASH_BUCKETS, non_negative: bool = True, bucket=term_bucket, keys=(DOC, "kind")
 ) -> DataFrame:
-    """Normalised hash vectors; with ``non_negative`` off, half of the terms count negatively."""
+    """Normalised hash vectors; with ``non_negative`` off, half of the terms count negatively.
+
+    The plain form needs no shuffle at all; the signed form meets once per document and bucket.
+    """
+    if non_negative:
+        return exploded(analysed, list(keys), hash_entries("terms", buckets, bucket), "term", "value", kind="inline")
+    rows = count_vectors(analysed, keys)
     term = F.col("term")
-    sign = F.lit(1.0) if non_negative else F.lit(1.0) - 2.0 * (bucket(F.concat(F.lit("sign:"), term), 2))
-    rows = analysed.select(*keys, F.explode("terms").alias("term"))
-    sums = rows.groupBy(*keys, bucket(term, buckets).alias("term")).agg(F.sum(sign).alias("value"))
+    sign = F.lit(1.0) - 2.0 * bucket(F.concat(F.lit("sign:"), term), 2)
+    sums = rows.groupBy(*keys, bucket(term, buckets).alias("term")).agg(F.sum(sign * F.col("value")).alias("value"))
     return normalise(sums.filter(F.col("value") != 0), keys)
 
 
+def dense_hash_vectors(analysed: DataFrame, buckets: int, bucket=term_bucket, doc: str = DOC) -> DataFrame:
+    """``doc, vector``: hash vectors as arrays, for neighbours and clusters."""
+    cells = analysed.select(doc, F.map_from_entries(hash_entries("terms", buckets, bucket)).alias("_m"))
+    position = lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))
+    return cells.select(doc, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), position).alias("vector"))
+
+
 def document_embeddings(
     df: DataFrame, words: str, size: int = 500, step: float = 0.025, window: int = 8, min_count: int = 5,
     iterations: int = 10, seed: int = 0, partitions: int = 1, doc: str = DOC,
@@ -116,7 +143,7 @@ def target_words(targets: DataFrame, target: str = "target") -> DataFrame:
 def target_matches(counts: DataFrame, names: DataFrame, doc: str = DOC) -> DataFrame:
     """``doc, target, value``: words of the document that occur in the target's name."""
     upper = counts.groupBy(doc, F.upper("term").alias("term")).agg(F.sum("value").alias("value"))
-    hits = salted_join(upper, names, ["term"], [doc])
+    hits = lookup_join(upper, names, ["term"])
     return hits.groupBy(doc, "target").agg(F.sum("value").alias("value"))
 
 
@@ -132,7 +159,7 @@ def vocabulary(analysed: DataFrame, by_first_use: bool = False, doc: str = DOC)
 
 def restrict_to_vocabulary(counts: DataFrame, vocab: DataFrame, spread_by: str = DOC) -> DataFrame:
     """Terms with their index; the others are dropped."""
-    return salted_join(counts, vocab, ["term"], [spread_by])
+    return lookup_join(counts, vocab, ["term"])
 
 
 def vector_sizes(counts: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import items as it
 from shelfmark.operators.counts import explode_fields, items_per_field
-from shelfmark.operators.skew import BLOCK_ROWS, DOC, blocked_rank, id_block, salted_join, sample_key
+from shelfmark.operators.skew import BLOCK_ROWS, DOC, blocked_rank, id_block, lookup_join, sample_key
+from shelfmark.session import cut
 
 
 def non_empty(df: DataFrame, *fields: str) -> DataFrame:
@@ -36,17 +37,27 @@ def _regroup(df: DataFrame, kept, fields: list[str], doc: str) -> DataFrame:
     return out.withColumns(new).select(*df.columns)
 
 
+def _back(df: DataFrame, work: DataFrame, fields: list[str], doc: str) -> DataFrame:
+    """The filtered fields joined to the other columns of their documents."""
+    if set(df.columns) == {doc, *fields}:
+        return work.select(*df.columns)
+    return df.drop(*fields).join(work, doc).select(*df.columns)
+
+
 def max_per_item(df: DataFrame, quotas: dict[str, float], doc: str = DOC, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Keep at most n occurrences of each item, earlier documents first.
 
     An int (or a float above 1) is a count; a float up to 1 is a share of the item's occurrences before this step.
-    Fields go in column order: a document dropped at a later field has already used quota of the earlier ones.
+    Fields go in column order: a document dropped at a later field has already used quota of the earlier ones. Each
+    pass reads its input three times, so ids and constrained fields alone are cut before every pass.
     """
     fields = [c for c in df.columns if c in quotas]
-    before = items_per_field(df, fields, doc)
-    for f in fields:
+    work = cut(df.select(doc, *fields))
+    before = items_per_field(work, fields, doc)
+    for n, f in enumerate(fields):
+        work = cut(work) if n else work
         quota = quotas[f]
-        rows = explode_fields(df, [f], doc)
+        rows = explode_fields(work, [f], doc)
         per_key = None
         limit = F.lit(quota)
         if isinstance(quota, float) and quota <= 1:
@@ -56,17 +67,18 @@ def max_per_item(df: DataFrame, quotas: dict[str, float], doc: str = DOC, block_
         elif isinstance(quota, float):
             limit = F.ceil(F.lit(quota))
         ranked = blocked_rank(rows, ["item"], [doc, "pos"], id_block(doc, block_rows), per_key=per_key)
-        df = _regroup(df, ranked.filter(F.col("rank") <= limit), [f], doc)
-    return df
+        work = _regroup(work, ranked.filter(F.col("rank") <= limit), [f], doc)
+    return _back(df, work, fields, doc)
 
 
 def min_per_item(df: DataFrame, least: dict[str, int], doc: str = DOC) -> DataFrame:
     """Drop items with fewer occurrences than given; counted once, not repeated to a fixpoint. One pass, all fields."""
     fields = [c for c in df.columns if c in least]
     bound = reduce(lambda e, f: e.when(F.col("field") == f, F.lit(least[f])), fields, F)
-    common = items_per_field(df, fields, doc).filter(F.col("n") >= bound).select("field", "item")
-    kept = salted_join(explode_fields(df, fields, doc), common, ["field", "item"], [doc])
-    return _regroup(df, kept, fields, doc)
+    work = cut(df.select(doc, *fields))
+    common = items_per_field(work, fields, doc).filter(F.col("n") >= bound).select("field", "item")
+    kept = lookup_join(explode_fields(work, fields, doc), common, ["field", "item"])
+    return _back(df, _regroup(work, kept, fields, doc), fields, doc)
 
 
 def shuffle_documents(df: DataFrame, seed: int = 0, doc: str = DOC) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
-from shelfmark.operators.skew import DOC, salted_join
+from shelfmark.operators.skew import DOC, exploded, lookup_join
 
 
 def first_analyses(lexicon: DataFrame, rank: str | None = None) -> DataFrame:
@@ -16,14 +16,18 @@ def first_analyses(lexicon: DataFrame, rank: str | None = None) -> DataFrame:
     return lexicon.groupBy("form").agg(chosen.alias("_best")).select("form", "_best.lemma", "_best.tag")
 
 
+def _positions(df: DataFrame, tokens: str, doc: str) -> DataFrame:
+    """``doc, form, _at``: one row per document and form, however often it occurs."""
+    rows = exploded(df, [doc], tokens, "pos", "form", kind="posexplode")
+    return rows.groupBy(doc, "form").agg(F.collect_list("pos").alias("_at"))
+
+
 def analyse(df: DataFrame, tokens: str, lexicon: DataFrame, doc: str = DOC) -> DataFrame:
     """``doc, pos, form, lemma, tag`` per token; an unknown form is its own lemma with tag X.
 
-    The positions of a form are gathered per document first, so a frequent form is one row per document.
+    The positions of a form are gathered per document first; forms that are hot even then are spread by the join.
     """
-    rows = df.select(doc, F.posexplode(tokens).alias("pos", "form"))
-    rows = rows.groupBy(doc, "form").agg(F.collect_list("pos").alias("_at"))
-    known = salted_join(rows, lexicon.select("form", "lemma", "tag"), ["form"], [doc], "left")
+    known = lookup_join(_positions(df, tokens, doc), lexicon.select("form", "lemma", "tag"), ["form"], "left")
     return known.select(
         doc,
         F.explode("_at").alias("pos"),
@@ -55,10 +59,9 @@ def keep_parts_of_speech(
 
 def remove_listed(df: DataFrame, tokens: str, stop_words: DataFrame, doc: str = DOC) -> DataFrame:
     """Drop tokens found in a stop-word table of any size (column ``form``)."""
-    rows = df.select(doc, F.posexplode(tokens).alias("pos", "form"))
     listed = stop_words.select("form").distinct().withColumn("_listed", F.lit(True))
-    kept = salted_join(rows, listed, ["form"], [doc], "left").filter(F.col("_listed").isNull())
-    return _regroup(df, kept, "form", tokens, doc)
+    kept = lookup_join(_positions(df, tokens, doc), listed, ["form"], "left").filter(F.col("_listed").isNull())
+    return _regroup(df, kept.select(doc, F.explode("_at").alias("pos"), "form"), "form", tokens, doc)
 
 
 def preprocess(

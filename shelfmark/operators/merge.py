@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import items as it
 from shelfmark.functions import text as tx
-from shelfmark.operators.skew import salted_join
+from shelfmark.operators.skew import lookup_join
 
 # The exported MARC fields in file order, and those whose items are united over sources.
 MARC_FIELDS = (
@@ -101,7 +101,7 @@ def attach_text(records: DataFrame, texts: DataFrame, allow_empty: bool, id: str
 def map_to_hierarchy(items: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """Replace each category by its path; unmapped categories are dropped (see :func:`unmapped`)."""
     keyed = items.withColumn("category", F.lower(it.strip("value")))
-    return salted_join(keyed, hierarchy, ["category"], ["id"]).drop("category", "value").withColumnRenamed("path", "value")
+    return lookup_join(keyed, hierarchy, ["category"]).drop("category", "value").withColumnRenamed("path", "value")
 
 
 def unmapped(items: DataFrame, hierarchy: DataFrame) -> DataFrame:
@@ -114,11 +114,11 @@ def lemmatise_items(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Items as lemmas, signs removed; items that become equal collapse. Each distinct value is analysed once."""
     values = items.select("value").distinct().withColumn("pos_form", tx.words(tx.signs_to_spaces("value")))
     rows = values.select("value", F.posexplode_outer("pos_form").alias("pos", "form"))
-    known = salted_join(rows, lexicon.select("form", "lemma"), ["form"], ["value"], "left")
+    known = lookup_join(rows, lexicon.select("form", "lemma"), ["form"], "left")
     entry = F.when(F.col("form").isNotNull(), F.struct("pos", F.coalesce("lemma", "form").alias("lemma")))
     lemmas = known.groupBy("value").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
     lemmas = lemmas.select("value", F.array_join("_list.lemma", " ").alias("_lemma"))
-    renamed = salted_join(items, lemmas, ["value"], ["id"]).drop("value").withColumnRenamed("_lemma", "value")
+    renamed = lookup_join(items, lemmas, ["value"]).drop("value").withColumnRenamed("_lemma", "value")
     return unite_items(renamed)
 
 

@@ -77,10 +77,20 @@ def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
+def exploded(df: DataFrame, keep: list[str], array: str | Column, *names: str, kind: str = "explode") -> DataFrame:
+    """``keep`` and one row per array element; ``kind`` is explode, posexplode or inline.
+
+    The outer form with a filter behind it is used on purpose: for the inner form the optimizer infers a filter on the
+    array's size, which computes an expensive array (a tokenised text) three times instead of once.
+    """
+    generate = {"explode": F.explode_outer, "posexplode": F.posexplode_outer, "inline": F.inline_outer}[kind]
+    return df.select(*keep, generate(array).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def salted_join(
     rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: list[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Join ``rows`` with a lookup table on a key that may be hot in ``rows``.
+    """Join ``rows`` with a settings-sized lookup (classes, weights) whose keys are hot by nature.
 
     Each key of ``rows`` is spread over ``salts`` tasks and the lookup is repeated that often. No broadcast is forced:
     adaptive execution broadcasts the lookup when its measured size allows, and joins by shuffle otherwise.
@@ -88,3 +98,16 @@ def salted_join(
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a large lookup (vocabulary, lexicon, term table) on a key that may be hot in ``rows``.
+
+    The rows come pre-aggregated, one per document and key. Adaptive execution does the rest at run time: it
+    broadcasts the lookup when its measured size allows, and in the shuffled join it splits the partition of a hot
+    key over many tasks (inner and left joins). Nothing that follows needs this join's partitioning, so the split is
+    never given up.
+    """
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        raise RuntimeError("spark.sql.adaptive.enabled must be on: hot join keys are split by adaptive execution")
+    return rows.join(lookup, on, how)

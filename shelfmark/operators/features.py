@@ -116,9 +116,13 @@ def hash_vectors(
 
 def dense_hash_vectors(analysed: DataFrame, buckets: int, bucket=term_bucket, doc: str = DOC) -> DataFrame:
     """``doc, vector``: hash vectors as arrays, for neighbours and clusters."""
-    cells = analysed.select(doc, F.map_from_entries(hash_entries("terms", buckets, bucket)).alias("_m"))
-    position = lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))
-    return cells.select(doc, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), position).alias("vector"))
+
+    def dense(cells: Column) -> Column:
+        position = lambda i: F.coalesce(cells[i.cast("bigint")], F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), position)
+
+    vector = tx.bind(F.map_from_entries(hash_entries("terms", buckets, bucket)), dense)
+    return analysed.select(doc, vector.alias("vector"))
 
 
 def document_embeddings(

@@ -11,7 +11,7 @@ from shelfmark.checks.registry import query
 from shelfmark.functions import items as it
 from shelfmark.functions import text as tx
 from shelfmark.operators import lexicon as lx
-from shelfmark.operators.skew import DOC
+from shelfmark.operators.skew import DOC, exploded
 from shelfmark.session import scratch_path
 from shelfmark.sources import files, sinks
 
@@ -122,8 +122,9 @@ def g14(spark, sf):
 @query("e13_word_parts", f"""with {DOCS}, w as (select doc_idx, {W} as w from fx_docs), p as (select doc_idx, w, unnest(range(0, greatest(cast(ceil(len(w)/50.0) as bigint),1))) as part_no from w)
 select doc_idx, part_no, array_to_string(w[part_no*50+1:part_no*50+50],' ') as part, cast(part_no = greatest(cast(ceil(len(w)/50.0) as bigint),1)-1 as int) as is_last from p""")
 def e13(spark, sf):
-    parts = F.inline(tx.word_parts(tx.words("fulltext"), 50))
-    return fx.docs(spark, sf).select(DOC, parts).select(
+    parts = tx.word_parts(tx.words("fulltext"), 50)
+    rows = exploded(fx.docs(spark, sf), [DOC], parts, "part_no", "words", "is_last", kind="inline")
+    return rows.select(
         DOC, F.col("part_no").cast("bigint"), F.array_join("words", " ").alias("part"), F.col("is_last").cast("int")
     )
 

@@ -20,7 +20,7 @@ def sample_key(*columns: str, seed: int = 0) -> Column:
 
 def id_block(doc: str = DOC, rows: int = BLOCK_ROWS) -> Column:
     """Order-preserving block of a numeric document id."""
-    return F.floor(F.col(doc) / F.lit(rows)).cast("bigint")
+    return F.expr(f"`{doc}` div {int(rows)}")
 
 
 def key_block(key: str, bits: int = 12) -> Column:

@@ -14,7 +14,7 @@ def shared_root(spark: SparkSession) -> str:
     A private temporary folder is used only where the setting is absent and the master is local (tests); on a
     cluster a missing setting is an error, because executors could not see a driver-local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.skew import exploded
+
 # The Dublin Core fields in output order.
 DUBLIN_CORE = ("title", "creator", "subject", "publisher", "date", "identifier", "language", "rights")
 # Fixed value: the word that marks a word split at the line end.
@@ -22,7 +24,7 @@ def dublin_core(xml: str = "xml") -> list[Column]:
 def page_references(documents: DataFrame) -> DataFrame:
     """``doc_id, page_no, page_id`` in the order of the references."""
     refs = _all("xml", 'rdf:resource="info:fedora/(uuid[^"]*)')
-    return documents.select("doc_id", F.posexplode(refs).alias("page_no", "page_id"))
+    return exploded(documents, ["doc_id"], refs, "page_no", "page_id", kind="posexplode")
 
 
 def page_lines(xml: str | Column = "xml") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.merge import MARC_FIELDS
+from shelfmark.operators.skew import exploded
 
 _CORRUPT = "_corrupt_record"
 _SCHEMA = (
@@ -47,7 +48,8 @@ def field_values(df: DataFrame, keys: list[str]) -> DataFrame:
         F.filter("record.datafield", wanted), lambda d: F.struct(d["_tag"].alias("field"), joined(d).alias("value"))
     )
     both = F.concat(*[F.coalesce(a, F.array().cast(empty)) for a in (control, data)])
-    return df.select(*keys, F.posexplode(both).alias("pos", "_v")).select(*keys, "_v.field", "pos", "_v.value")
+    rows = exploded(df, keys, both, "pos", "_v", kind="posexplode")
+    return rows.select(*keys, "_v.field", "pos", "_v.value")
 
 
 def collect_fields(

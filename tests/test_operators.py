@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import clusters, ensemble, filters, linear, neighbours, sampling, skew, splits
+from shelfmark.operators import clusters, ensemble, filters, linear, nbest, neighbours, sampling, skew, splits
 from shelfmark.operators.skew import DOC
 from shelfmark.plans import commands
 from shelfmark.plans.commands import Classifier
@@ -152,6 +152,30 @@ def test_small_corpus_end_to_end(spark, tmp_path, algorithm):
     assert predicted == ["greeting", "animal", "geometry"]
 
 
+def test_places_without_confidence_go_to_the_first_targets(spark):
+    docs = spark.createDataFrame([(1,), (2,)], f"{DOC} bigint")
+    scores = spark.createDataFrame([(1, "c", 0.9), (1, "b", 0.0), (1, "a", 0.1)], f"{DOC} bigint, target string, confidence double")
+    got = nbest.ranked_with_zeros(docs, scores, ["a", "b", "c"], 3).orderBy(DOC, "rank").collect()
+    assert [(r[DOC], r.target, r["rank"]) for r in got] == [
+        (1, "c", 1), (1, "a", 2), (1, "b", 3), (2, "a", 1), (2, "b", 2), (2, "c", 3),
+    ]
+
+
+def test_testing_command_with_hierarchy(spark):
+    rows = [(f"{t[0]}->{t}", text) for t, texts in WORDS.items() for text in texts]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], f"{DOC} bigint, target string, fulltext string")
+    result = commands.testing(
+        df, {"fulltext": ("fulltext", "text_ngrams", 1)},
+        [Classifier("fulltext"), Classifier("fulltext", "match_target", weight=0.1)], folds=3, hierarchy_delimiter="->", n_best=3,
+    )
+    top = {(r.fold, r.n, r.level): r.accuracy for r in result["top_n"].collect()}
+    assert len(top) == 3 * 3 * 4
+    assert all(top[f, 3, "exact match"] == 1.0 for f in range(3))
+    assert all(top[f, n, "exact match"] <= top[f, n, "family"] <= top[f, n, "same top level"] for f in range(3) for n in (1, 2, 3))
+    assert result["predictions"].count() == 9
+    assert {r.target: r.support for r in result["per_target"].collect()}.keys() == {r[0] for r in rows}
+
+
 def test_missing_saved_part_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="weights"):
         store.load(spark, str(tmp_path), "weights")

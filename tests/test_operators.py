@@ -126,30 +126,29 @@ WORDS = {"greeting": ["hello , friend", "hello there", "good day , friend"], "an
          "geometry": ["the square has a side", "a triangle has a side", "the square and the triangle"]}
 
 
-@pytest.mark.parametrize("algorithm", ["naive_bayes", "linear_svm"])
-def test_small_corpus_end_to_end(spark, tmp_path, algorithm):
+def small_corpus(spark):
     rows = [(t, text) for t, texts in WORDS.items() for text in texts]
     rows += [(None, "hello friend"), (None, "the cat barks"), (None, "a side of a triangle")]
-    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], f"{DOC} bigint, target string, fulltext string")
+    return spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], f"{DOC} bigint, target string, fulltext string")
+
+
+@pytest.mark.parametrize("specs", [
+    [Classifier("fulltext", weight="auto")],
+    [Classifier("fulltext", "linear_svm")],
+    [Classifier("fulltext", weight=0.8), Classifier("fulltext", "neighbours", "hash"), Classifier("fulltext", "match_target", weight=0.1)],
+], ids=["bayes", "svm", "ensemble"])
+def test_small_corpus_end_to_end(spark, tmp_path, specs):
+    df = small_corpus(spark)
     kinds = {"fulltext": ("fulltext", "text_ngrams", 1)}
     train = df.filter("target is not null").select(DOC, "target")
-    if algorithm == "naive_bayes":
-        spec = [Classifier("fulltext", weight="auto")]
-        commands.classification(df, train, spec, kinds, str(tmp_path), folds=3)
-        got = commands.prediction(df.filter("target is null"), spec, kinds, str(tmp_path), n_best=2, confidence="_c")
-        assert got.columns == [DOC, "PREDICTED", "PREDICTED_c", "BEST_2", "BEST_2_c"]
-        predicted = [r.PREDICTED for r in got.orderBy(DOC).collect()]
-    else:
-        from shelfmark.operators import features as ft
-
-        vectors = ft.normalise(ft.count_vectors(ft.analyse_kinds(df, kinds)).drop("kind"), (DOC,))
-        plan = commands.calibration_plan(train)
-        assert plan[1] == 3
-        out = linear.calibrated(vectors.join(train.select(DOC), DOC, "left_semi"), train,
-                                vectors.join(train.select(DOC), DOC, "left_anti"), *plan)
-        assert out.filter("confidence < 0 or confidence > 1").count() == 0
-        predicted = [r.p for r in out.groupBy(DOC).agg(F.max_by("target", "confidence").alias("p")).orderBy(DOC).collect()]
-    assert predicted == ["greeting", "animal", "geometry"]
+    commands.classification(df, train, specs, kinds, str(tmp_path), folds=3)
+    report = store.load(spark, str(tmp_path), "report")["report"].collect()
+    assert {(r.classifier_id, r.n_docs, r.n_targets) for r in report} == {(i, 9, 3) for i in range(len(specs))}
+    got = commands.prediction(df.filter("target is null"), specs, kinds, str(tmp_path), n_best=2, confidence="_c")
+    assert got.columns == [DOC, "PREDICTED", "PREDICTED_c", "BEST_2", "BEST_2_c"]
+    rows = got.orderBy(DOC).collect()
+    assert [r.PREDICTED for r in rows] == ["greeting", "animal", "geometry"]
+    assert all(0 < float(r.PREDICTED_c) <= 1 for r in rows)
 
 
 def test_places_without_confidence_go_to_the_first_targets(spark):

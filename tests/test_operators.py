@@ -183,8 +183,8 @@ def test_missing_saved_part_is_an_error(spark, tmp_path):
 def test_database_tables_are_read_by_key_range(spark):
     url = "jdbc:derby:memory:shelfmark;create=true"
     rows = spark.createDataFrame([(i, i % 3, f"t{i}") for i in range(30)], "harvested_record_id int, order_in_document int, fulltext string")
-    rows.write.jdbc(url, "fulltext_kramerius", mode="overwrite")
-    df = relational.read_table(spark, url, "fulltext_kramerius", "harvested_record_id", 0, 30, 4)
+    rows.write.jdbc(url, "page_texts", mode="overwrite")
+    df = relational.read_table(spark, url, "page_texts", "harvested_record_id", 0, 30, 4)
     assert df.count() == 30
     assert df._jdf.queryExecution().toRdd().getNumPartitions() == 4
     pages = relational.record_pages(df.toDF("harvested_record_id", "order_in_document", "fulltext"))

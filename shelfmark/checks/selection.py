@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from shelfmark.checks import fixtures as fx
 from shelfmark.checks.registry import query
 from shelfmark.functions import items as it
-from shelfmark.functions import text as tx
 from shelfmark.operators import counts, filters
 from shelfmark.operators.skew import DOC, dense_index
 from shelfmark.session import scratch_path

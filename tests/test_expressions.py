@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from shelfmark.functions import hierarchy as h
 from shelfmark.functions import items as it
 from shelfmark.functions import text as tx

@@ -8,13 +8,14 @@ shorter text is one shingle). Two texts are linked when the weighted Jaccard sim
 2. Sketches of the others are cut into bands; texts that agree in a band share a bucket.
 3. In each bucket the most central member, that with the most company over all its buckets, is compared with all others
    (a star, linear in the bucket) by the exact similarity of the texts.
-4. Members of different components around one centre are compared further where the triangle inequality of the Jaccard
-   distance and the sizes of the sets leave a link possible, again by exact similarity. No bucket is cut or skipped.
+4. Members of different components around one centre are compared further, in pairs of blocks of members, where the
+   triangle inequality of the Jaccard distance and the sizes of the sets leave a link possible, again by exact
+   similarity. No bucket is cut or skipped, and no pairs but the links found are given out.
 
 Only the search is approximate: with 32 bands of 5 coordinates a pair at the threshold is missed with a probability of
 3e-6. Step 4 leaves out pairs whose sketches agree in less than the threshold by six standard deviations.
 
-Defined cases: null texts and texts without words are alone in their class; rows with a null id are alone and have a
+Ids are numbers. Defined cases: null texts and texts without words are alone in their class; rows with a null id are alone and have a
 null class; rows that repeat an id are one document (its text must be the same; if it is not, one of them counts); an
 empty table gives no rows; columns other than the named ones are not read.
 """
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,7 @@ class Settings:
     threshold: float = 0.8
     bands: int = 32
     rows: int = 5
+    block: int = 512
 
     @property
     def coordinates(self) -> int:
@@ -140,19 +143,51 @@ def _compare(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
-def _agreeing(pairs: DataFrame, s: Settings) -> DataFrame:
-    """a, b of the pairs whose sketches sa, sb agree in about the threshold or more."""
-    least = s.threshold - 6 * np.sqrt(s.threshold * (1 - s.threshold) / s.coordinates)
-    schema = pairs.select("a", "b").schema
+def _block_linker(s: Settings):
+    """Links between different components among the members of two blocks around one centre.
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                keep = pa.array((one == two).mean(axis=1) >= least)
-                yield batch.select(["a", "b"]).filter(keep)
+    A pair is compared only if the triangle inequality, the sizes and the sketches leave a link possible, the most alike
+    sketches first, and only while its two sides are in different components: at most one link per merge is given.
+    """
+    far = 1 - s.threshold
+    least = s.threshold - 6 * np.sqrt(s.threshold * (1 - s.threshold) / s.coordinates)
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", ignore_index=True)
+        ids, labels, own = frame["id"].tolist(), frame["label"].to_numpy(), frame["own"].to_numpy()
+        d, size, text = frame["d"].to_numpy(), frame["size"].to_numpy(), frame["text"].tolist()
+        marks = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
+        across = frame["low"].iloc[0] != frame["high"].iloc[0]
+        found = []
+        for i in range(len(frame) - 1):
+            rest = slice(i + 1, None)
+            ok = (labels[rest] != labels[i]) & (np.abs(d[rest] - d[i]) <= far + 1e-9)
+            ok &= np.minimum(size[rest], size[i]) >= s.threshold * np.maximum(size[rest], size[i]) - 1e-9
+            if across:  # pairs within a block belong to that block's own group
+                ok &= own[rest] != own[i]
+            at = np.flatnonzero(ok) + i + 1
+            alike = (marks[at] == marks[i]).mean(axis=1)
+            found += [(-v, i, j) for v, j in zip(alike.tolist(), at.tolist(), strict=True) if v >= least]
+        parent = {x: x for x in labels.tolist()}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets, out = {}, []
+        for _, i, j in sorted(found):
+            x, y = root(labels[i]), root(labels[j])
+            if x != y:
+                one, two = (sets[k] if k in sets else sets.setdefault(k, shingles(text[k], s.words)) for k in (i, j))
+                value = similarity(one, two)
+                if value >= s.threshold:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((ids[i], ids[j], value))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return run
 
 
 def _with_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -191,25 +226,21 @@ def links(sketches: DataFrame, docs: DataFrame, s: Settings, doc: str, text: str
     labels = components(near).withColumnRenamed("id", "_id")
 
     # step 4: around one centre, members of different components
-    far = 1 - s.threshold
     spot = stars.join(labels, F.col("b") == F.col("_id"), "left").select(
         F.col("a").alias("centre"), F.col("b").alias("id"), F.coalesce("label", "b").alias("label"), (1 - F.col("similarity")).alias("d")
     )
-    mixed = spot.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    spot = spot.join(saved(mixed.select(F.col("centre").alias("_centre")), "mixed"), F.col("centre") == F.col("_centre"), "left_semi")
-    spot = spot.join(reps.select(F.col("id").alias("_id"), "size", "sketch"), F.col("id") == F.col("_id")).drop("_id")
-    spot = saved(spot.withColumn("cell", F.floor(F.col("d") / far).cast("int")), "spots")
-    u = spot.select(*[F.col(c).alias(f"{c}_u") for c in spot.columns], F.explode(F.array("cell", F.col("cell") + 1)).alias("meet"))
-    u, v = u.alias("u"), spot.alias("v")
-    possible = (
-        (F.col("centre_u") == F.col("centre")) & (F.col("meet") == F.col("cell")) & (F.col("label_u") != F.col("label"))
-        & ((F.col("cell_u") != F.col("cell")) | (F.col("id_u") < F.col("id")))
-        & (F.abs(F.col("d_u") - F.col("d")) <= far + 1e-9)
-        & (F.least("size_u", "size") >= s.threshold * F.greatest("size_u", "size") - 1e-9)
-    )
-    more = u.join(v, possible).select(F.least("id_u", "id").alias("a"), F.greatest("id_u", "id").alias("b"), *[F.when(F.col("id_u") < F.col("id"), F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("sa", "sketch_u", "sketch"), ("sb", "sketch", "sketch_u"))])
-    more = saved(_agreeing(more, s).distinct(), "further")
-    more = _compare(_with_texts(more, bodies), s).filter(F.col("similarity") >= s.threshold)
+    mixed = spot.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.filter("low <> high")
+    centres = spot.join(saved(mixed.select(F.col("centre").alias("_centre"), "n"), "mixed"), F.col("centre") == F.col("_centre"))
+    centres = centres.join(reps.select(F.col("id").alias("_id"), "size", "sketch"), F.col("id") == F.col("_id")).drop("_id", "_centre")
+    centres = saved(centres, "spots")
+    # blocks of about block members; each pair of blocks of a centre is one group
+    count = F.ceil(F.col("n") / F.lit(s.block)).cast("int")
+    block = F.pmod(F.xxhash64("id"), count).cast("int")
+    others = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(block, j).alias("low"), F.greatest(block, j).alias("high")))
+    spread = centres.withColumn("own", block).select("*", F.inline(others)).drop("n")
+    spread = spread.join(bodies.select(F.col("id").alias("_id"), "text"), F.col("id") == F.col("_id")).drop("_id")
+    more = spread.groupBy("centre", "low", "high").applyInPandas(_block_linker(s), near.schema)
     return saved(near.unionAll(more), "links"), copies
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from shelfmark.session import scratch_path
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 PIECE_ROWS = 1024
 
 

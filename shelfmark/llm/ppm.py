@@ -32,12 +32,13 @@ from shelfmark.llm.common import append, pieces, saved, utf8
 
 END = b""  # the word that ends a text
 BREAK = 10  # the byte that ends a text; no word holds it
-FLUSH_WORDS, FLUSH_GRAMS = 1 << 20, 1 << 22
+FLUSH_WORDS, FLUSH_GRAMS = 1 << 19, 1 << 21
+SLICE = 1 << 17  # positions scored at once: their arrays stay in cache
 
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 4
+    order: int = 5
     max_entries: int = 1 << 20
     max_words: int = 1 << 18
     addend: float = 0.1
@@ -62,10 +63,9 @@ def coded(batch: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray,
 
 def gram_codes(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     """The context and byte at each position as one number, the byte lowest."""
-    code = data.astype(np.uint64)
-    total = code[order:].copy()
+    total = data[order:].astype(np.uint64)
     for i in range(1, order + 1):
-        total |= code[order - i : len(code) - i] << np.uint64(8 * i)
+        total |= data[order - i : len(data) - i].astype(np.uint64) << np.uint64(8 * i)
     return total[at - order]
 
 
@@ -158,12 +158,11 @@ def build(order: int, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model
     return model
 
 
-def score_positions(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log10 probability of the byte at each position."""
-    out = np.zeros(len(at))
-    codes, left = gram_codes(data, at, model.order), np.arange(len(at))
-    escaped = np.zeros(len(at), bool)
-    rest, rest_escape = np.zeros(len(at)), np.zeros(len(at))
+def score_codes(model: Model, codes: np.ndarray) -> np.ndarray:
+    """log10 probability of the byte of each gram number after its context."""
+    out, left = np.zeros(len(codes)), np.arange(len(codes))
+    escaped = np.zeros(len(codes), bool)
+    rest, rest_escape = np.zeros(len(codes)), np.zeros(len(codes))
     for n in range(model.order, -1, -1):
         level = model.levels.get(n)
         if level is None:
@@ -289,8 +288,8 @@ def score(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text
         def run(piece):
             lists = [words_of(t) for t in utf8(piece, "text")]
             data, at, sizes = coded(lists, model.order)
-            # parts of about a million bytes keep the arrays small
-            logp = np.concatenate([score_positions(model, data, at[i : i + (1 << 20)]) for i in range(0, len(at), 1 << 20)])
+            codes = gram_codes(data, at, model.order)
+            logp = np.concatenate([score_codes(model, codes[i : i + SLICE]) for i in range(0, len(codes), SLICE)])
             scores = np.add.reduceat(logp, np.cumsum(sizes) - sizes)
             n_tokens, n_common, base, rare = [], [], [], []
             for w in lists:

@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 A text's features are its lower-cased words and word pairs, hashed into ``2 ** bits`` slots, each occurrence with weight
-1 / sqrt(number of occurrences), and a bias. The model is trained on a bounded sample of labelled rows (``max_rows``):
+1 / sqrt(number of occurrences), how large a share of the word pairs occurs 1, 2-3, 4-7, ... times, and a bias. The model is trained on a bounded sample of labelled rows (``max_rows``):
 the rows are dealt over ``shards`` tasks, each runs the per-coordinate updates in a fixed order, and the weights are
 averaged. Scores are sparse dot products.
 
@@ -28,15 +28,19 @@ from shelfmark.llm.common import append, hash_share, texts
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.02
+    l1: float = 0.01
     l2: float = 0.0005
     epochs: int = 4
-    shards: int = 4
+    shards: int = 1
     max_rows: int = 16_384
 
 
+def length(settings: Settings) -> int:
+    return (1 << settings.bits) + 1 + REPEATS
+
+
 def slots(text: str | None, bits: int) -> np.ndarray:
     """Hash slots of all words and word pairs of a text."""
     words = (text or "").lower().encode().split()
@@ -46,16 +50,28 @@ def slots(text: str | None, bits: int) -> np.ndarray:
     return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+REPEATS = 8  # classes of how often a word pair occurs, by powers of two
+
+
+def repeats(found: np.ndarray) -> np.ndarray:
+    """Shares of the word pairs of a result of :func:`slots` by how often they occur."""
+    pairs = found[(len(found) + 1) // 2 :]
+    if not len(pairs):
+        return np.zeros(REPEATS)
+    times = np.unique(pairs, return_counts=True)[1]
+    return np.bincount(np.minimum(np.log2(times).astype(np.int64), REPEATS - 1), weights=times, minlength=REPEATS) / len(pairs)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
 class Leader:
-    """State of the per-coordinate updates; the last slot is the bias."""
+    """State of the per-coordinate updates; behind the hash slots come the bias and the classes of repeats."""
 
     def __init__(self, settings: Settings):
         self.s = settings
-        self.z = np.zeros((1 << settings.bits) + 1)
+        self.z = np.zeros(length(settings))
         self.n = np.zeros_like(self.z)
 
     def weights(self, at=slice(None)) -> np.ndarray:
@@ -73,7 +89,8 @@ class Leader:
 
 def example(found: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     at, times = np.unique(found, return_counts=True)
-    return np.append(at, 1 << bits), np.append(times / np.sqrt(max(1, len(found))), 1.0)
+    more = np.arange((1 << bits), (1 << bits) + 1 + REPEATS)
+    return np.append(at, more), np.concatenate((times / np.sqrt(max(1, len(found))), [1.0], repeats(found)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, settings: Settings = Settings(), doc: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
@@ -104,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, settings: Settings
 
     trained = rows.groupBy("_shard").applyInPandas(train, "rows long, w binary").collect()  # one row per shard
     if not trained:
-        return np.zeros((1 << settings.bits) + 1, np.float32)
+        return np.zeros(length(settings), np.float32)
     shares = np.array([r["rows"] for r in trained], float)
     return np.average([np.frombuffer(r["w"], np.float32) for r in sorted(trained, key=lambda r: r["w"])], axis=0, weights=shares[np.argsort([r["w"] for r in trained])]).astype(np.float32)
 
@@ -112,13 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, settings: Settings
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with score, the probability of label 1, and predicted (1 from 0.5 on)."""
     bits = len(weights).bit_length() - 1
+    bias, classes = float(weights[1 << bits]), weights[(1 << bits) + 1 :].astype(np.float64)
 
     def scorer():
         def run(piece):
             logits = []
             for t in texts(piece, text):
                 at = slots(t, bits)
-                logits.append(weights[-1] + weights[at].sum(dtype=np.float64) / np.sqrt(max(1, len(at))))
+                hashed = weights[at].sum(dtype=np.float64) / np.sqrt(max(1, len(at)))
+                logits.append(bias + hashed + repeats(at) @ classes)
             p = sigmoid(np.array(logits, np.float64))
             return [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())]
 

@@ -1,0 +1,433 @@
+"""The operators against brute force, round trips and the defined edge cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.llm import chat, darts, decontamination, dedup, language, mixing, ppm, quality, rollup, secrets, tiff
+from shelfmark.llm.common import remainder
+from shelfmark.session import scratch_path
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, matches string"
+ENGLISH = "the cat sat on the mat and looked at the moon while the dog slept near the old door of the house".split()
+GERMAN = "die katze sitzt auf der matte und schaut zum mond während der hund neben der alten tür des hauses schläft".split()
+
+
+def make_docs(spark, rows):
+    """Rows of doc_id, text, lang, source, with two more columns named like outputs."""
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", "y") for r in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        words, lang = (ENGLISH, "en") if i % 3 else (GERMAN, "de")
+        rows.append((i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 60))), lang, f"s{i % 4}"))
+    rows += [(200, None, "en", "s0"), (201, "", None, None), (202, " \n\t", "en", None), (203, "12 34 !!", "de", "s1")]
+    rows += [(None, "the cat and the dog", "en", "s1"), (204, "the cat " * 30_000, "en", "s2"), (5, rows[5][1], rows[5][2], rows[5][3])]
+    return make_docs(spark, rows).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return make_docs(spark, [])
+
+
+def texts_of(corpus):
+    return [(r["doc_id"], r["text"], r["source"]) for r in corpus.collect()]
+
+
+# -- 1 ---------------------------------------------------------------------------------------------------------------
+def test_kernel_is_the_normalised_number_of_common_ngrams():
+    def sets(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        s = " ".join(s.split()).join("  ") if s.split() else " "
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" "}
+
+    samples = ["The cat, sat!", "Die Katze saß", "çà et là", "a"]
+    model = language.build_landmarks([], [language.grams(language.code_points(t), 3) for t in samples], language.Settings())
+    kernel, some = language.Kernel(model).rows([*samples, "12", None])
+    for i, a in enumerate(samples):
+        for j, b in enumerate(samples):
+            x, y = sets(a), sets(b)
+            assert kernel[i, j] == pytest.approx(len(x & y) / math.sqrt(len(x) * len(y)))
+    assert some.tolist() == [True] * 4 + [False] * 2
+
+
+def test_language(spark, corpus, empty):
+    model = language.fit(corpus.filter(remainder("doc_id", 4) != 2))
+    got = language.identify(corpus, model).collect()
+    assert len(got) == corpus.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] is not None and r["doc_id"] < 200 or r["doc_id"] == 204)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (200, 201, 202, 203)} == {"und"}
+    assert language.identify(empty, model).count() == 0
+    assert {r["lang_pred"] for r in language.identify(corpus, language.fit(empty)).collect()} == {"und"}
+
+
+# -- 2 ---------------------------------------------------------------------------------------------------------------
+def test_rollup_is_idempotent_and_exact(spark):
+    schema = f"old {rollup.IMAGE}, new {rollup.IMAGE}, extra string"
+    table = rollup.Rollup(spark, scratch_path(spark, "rollup")).create()
+    rng, live = random.Random(1), []
+    for batch in range(4):
+        changes = []
+        for _ in range(30):
+            kind = rng.choice("irdn")
+            if kind == "n":
+                changes.append((None, None, "x"))
+            elif kind == "i" or not live:
+                live.append((rng.choice(["a", None]), rng.choice(["en", "de"]), "v1", rng.choice([None, 3, 7])))
+                changes.append((None, live[-1], "x"))
+            elif kind == "d":
+                changes.append((live.pop(rng.randrange(len(live))), None, "x"))
+            else:
+                i = rng.randrange(len(live))
+                new = (live[i][0], "fr", "v2", 11)
+                changes.append((live[i], new, "x"))
+                live[i] = new
+        df = spark.createDataFrame(changes, schema)
+        assert table.commit(f"b{batch}", df) and not table.commit(f"b{batch}", df)
+    assert table.commit("none", spark.createDataFrame([], schema))
+    want = collections.defaultdict(lambda: [0, 0])
+    for s, lang, tok, n in live:
+        want[s, lang, tok][0] += 1
+        want[s, lang, tok][1] += n or 0
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"]] for r in table.totals().collect()}
+    assert got == dict(want)
+    # a batch whose marker was never written is not seen, and is replaced by its next attempt
+    spark.createDataFrame([("a", "en", "v1", 9, 9, "lost")], f"{rollup.DELTA}, batch string").write.parquet(f"{table.root}/deltas/of-lost")
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"]] for r in table.totals().collect()} == got
+    with pytest.raises(ValueError):
+        table.commit("../x", df)
+
+
+# -- 3 ---------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("compression", ["none", "lzw", "deflate", "packbits"])
+def test_tiff_round_trip(compression):
+    rng = np.random.default_rng(1)
+    for kind in (np.uint8, np.uint16, np.uint32):
+        for predictor in (1, 2):
+            for tile in (None, (16, 16)):
+                shape = tuple(rng.integers(1, 40, 2)) + (int(rng.integers(1, 4)),)
+                image = rng.integers(0, rng.choice([2, 200]), shape).astype(kind)
+                data = tiff.write_image([image, image[::-1]], compression, predictor, int(rng.integers(1, 3000)), tile)
+                assert [p.pixels for p in tiff.read_pages(data)] == [image.tobytes(), image[::-1].tobytes()]
+    real = rng.normal(size=(9, 7, 2)).astype(np.float32)
+    assert next(tiff.read_pages(tiff.write_image([real], compression, 3))).pixels == real.tobytes()
+    noise = rng.integers(0, 256, (300, 200)).astype(np.uint8)
+    assert next(tiff.read_pages(tiff.write_image([noise], compression))).pixels == noise.tobytes()
+
+
+def test_tiff_big_endian_and_faults(spark):
+    # a hand-made big-endian page: 2 x 2 samples of 16 bits, one strip
+    def entry(tag, kind, value):
+        return bytes([tag >> 8, tag & 255, 0, kind, 0, 0, 0, 1]) + (value.to_bytes(4, "big") if kind == 4 else value.to_bytes(2, "big") + b"\0\0")
+
+    tags = [(256, 3, 2), (257, 3, 2), (258, 3, 16), (259, 3, 1), (273, 4, 8), (277, 3, 1), (278, 3, 2), (279, 4, 8)]
+    data = b"MM\0*\0\0\0\x10" + bytes([0, 1, 0, 2, 0, 3, 1, 0]) + bytes([0, len(tags)]) + b"".join(entry(*t) for t in tags) + b"\0\0\0\0"
+    page = next(tiff.read_pages(data))
+    assert np.frombuffer(page.pixels, "<u2").tolist() == [1, 2, 3, 256]
+    good = tiff.write_image([np.zeros((4, 4), np.uint8)] * 2)
+    rows = [(1, good, "k"), (2, None, None), (3, b"", "k"), (4, b"II*\0junk", "k"), (5, good[:-20], "k")]
+    df = spark.createDataFrame(rows, "id int, media binary, width string")
+    got = collections.defaultdict(list)
+    for r in tiff.explode_pages(df).collect():
+        got[r["id"]].append(r)
+    assert [len(got[i]) for i in range(1, 6)] == [2, 1, 1, 1, 2]
+    assert all(r["error"] for i in (2, 3, 4) for r in got[i]) and got[1][1]["page"] == 1 and got[5][0]["pixels"] == bytes(16) and got[5][1]["error"]
+    assert tiff.explode_pages(df.limit(0)).count() == 0
+    rng = np.random.default_rng(2)
+    for _ in range(300):  # damaged files give errors, not crashes
+        bad = bytearray(good)
+        bad[int(rng.integers(8, len(bad)))] = int(rng.integers(256))
+        list(tiff.read_pages(bytes(bad)))
+
+
+def test_tiff_query_reads_back_the_payload(spark, corpus, tmp_path):
+    from shelfmark.llm.queries import QUERIES
+
+    corpus.write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter(tuple(r) for r in QUERIES["op3_tiff"](spark, str(tmp_path)).drop("media_bytes", "media_sha256", "feature").collect())
+    want = collections.Counter()
+    for doc, text, _ in texts_of(corpus):
+        data = (text or "").encode()
+        padded = data + b"\0" * (-len(data) % 64 if data else 64)
+        want[doc, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])] += 1
+    assert got == want
+
+
+# -- 4 ---------------------------------------------------------------------------------------------------------------
+def brute_ppm(training, text, order):
+    counts = collections.defaultdict(collections.Counter)
+    lead = b"\n" * order
+    for t in training:
+        x = lead + b" ".join(ppm.words_of(t)) + b"\n"
+        for i in range(order, len(x)):
+            for n in range(order + 1):
+                counts[x[i - n : i]][x[i]] += 1
+    x, total = lead + b" ".join(ppm.words_of(text)) + b"\n", 0.0
+    for i in range(order, len(x)):
+        out = set()
+        for n in range(order, -1, -1):
+            seen = {s: c for s, c in counts.get(x[i - n : i], {}).items() if s not in out}
+            if seen:
+                whole = sum(seen.values()) + len(seen)
+                if x[i] in seen:
+                    total += math.log10(seen[x[i]] / whole)
+                    break
+                total += math.log10(len(seen) / whole)
+                out |= set(seen)
+        else:
+            total -= math.log10(256 - len(out))
+    return total
+
+
+@pytest.mark.parametrize("max_words", [1 << 18, 4])
+def test_ppm_against_brute_force(spark, corpus, empty, max_words):
+    small = corpus.filter("doc_id is null or doc_id <> 204")
+    settings = ppm.Settings(order=3, max_words=max_words)
+    train = remainder("doc_id", 10) != 0
+    got = collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ppm.score(small, train, settings=settings).collect())
+    rows = [(d, (t or "").encode()) for d, t, _ in texts_of(small)]
+    training = [t for d, t in rows if zlib.crc32(str(d).encode() if d is not None else b"") % 10 != 0 and d is not None]
+    words = collections.Counter(w for t in training for w in [*ppm.words_of(t), ppm.END])
+    n, kinds, want = sum(words.values()), len(words), collections.Counter()
+    for d, t in rows:
+        own = [*ppm.words_of(t), ppm.END]
+        base = sum(math.log10((words[w] + 0.1) / (n + 0.1 * (kinds + 1))) for w in own)
+        want[d, len(own), sum(words[w] > 0 for w in own), n, round(base, 6), round(brute_ppm(training, t, 3), 6)] += 1
+    assert got == want
+    assert ppm.score(empty, train).count() == 0
+
+
+def test_ppm_model_is_a_distribution_when_pruned(spark, corpus):
+    settings = ppm.Settings(order=4, max_entries=300)
+    counts = ppm.count_corpus(corpus.filter("doc_id < 100"), "text", 4)
+    model = ppm.fit_trie(counts, settings)
+    assert len(model.levels[4].share) <= 300 < ppm.fit_trie(counts, ppm.Settings(order=4)).levels[4].share.size
+    for context in (b"the ", b"katz", b"zzzz", b"\n\n\n\n"):
+        codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
+        assert (10 ** ppm.score_codes(model, codes)).sum() == pytest.approx(1)
+
+
+# -- 5 ---------------------------------------------------------------------------------------------------------------
+def test_sketches_agree_as_often_as_the_weighted_similarity():
+    rng = np.random.default_rng(0)
+    elements, a = rng.integers(0, 2**63, 50).astype(np.uint64), rng.uniform(0.1, 3, 50)
+    b = np.where(np.arange(50) < 15, rng.uniform(0.1, 3, 50), a)
+    rates = []
+    for trial in range(40):
+        e = darts.mix(elements + np.uint64(trial))
+        s = darts.sketches(np.tile(e, 2), np.concatenate((a, b)), np.repeat([0, 1], 50), 2, 128)
+        rates.append((s[0] == s[1]).mean())
+    assert np.mean(rates) == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.02)
+
+
+def near_corpus():
+    """Groups of exact and near copies, a chain, a larger family around one text, short and empty texts."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(900)]
+    fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = [fresh(rng.randint(8, 150)) for _ in range(40)]
+    rows += [list(r) for r in rows[:6]]
+    chain = fresh(120)
+    for i in range(6):
+        chain = list(chain)
+        chain[i * 15 + 3] = f"new{i}"
+        rows.append(chain)
+    family = fresh(150)
+    for i in range(90):
+        one = list(family)
+        for _ in range(rng.randint(0, 6)):
+            one[rng.randrange(len(one))] = rng.choice(vocabulary)
+        rows.append(one)
+    rows += [["one", "two"], ["one", "two"], ["One", "TWO"], [], []]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    return [(i, " ".join(rows[j]), "en", "s") for i, j in enumerate(order)]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_classes_are_the_components_of_all_links(spark, empty, block):
+    rows = near_corpus()
+    docs = make_docs(spark, [*rows, (900, None, "en", "s"), (None, rows[0][1], "en", "s"), rows[1]])
+    settings = dedup.Settings(block=block)
+    got = [(r["doc_id"], r["class_id"]) for r in dedup.near_duplicates(docs, settings).collect()]
+    sets = {d: dedup.shingles(t, 5) for d, t, *_ in rows}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and dedup.similarity(sets[a], sets[b]) >= 0.8:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    want = [(d, root(d)) for d in sets] + [(900, 900), (None, None), (rows[1][0], root(rows[1][0]))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [r["doc_id"] for r in dedup.keep_one(docs, settings).collect()]
+    assert sorted(kept, key=str) == sorted({root(d) for d in sets} | {900, None}, key=str)
+    assert dedup.near_duplicates(empty).count() == 0
+
+
+# -- 6 ---------------------------------------------------------------------------------------------------------------
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_closest_passage_is_exact():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        item, around = rng.integers(0, 4, rng.integers(1, 8)), rng.integers(0, 4, rng.integers(0, 10))
+        distance, a, b = decontamination.closest(item, around)
+        best = min(plain_distance(item, around[i:j]) for i in range(len(around) + 1) for j in range(i, len(around) + 1))
+        assert distance == best == plain_distance(item, around[a:b])
+
+
+def test_leaks(spark, empty):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(15, 50)))) for i in range(12)]
+    rows, planted = [], {}
+    for doc in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))]
+        if doc % 2:
+            item, text = items[doc % 12]
+            passage = text.split()
+            for _ in range(rng.randint(0, int(0.2 * len(passage)))):
+                at = rng.randrange(len(passage))
+                passage[at : at + 1] = rng.choice([[], ["other"], [passage[at], "more"]])
+            cut = rng.randint(0, len(words))
+            words, planted[doc] = words[:cut] + [w.upper() + "," for w in passage] + words[cut:], item
+        rows.append((doc, " ".join(words), "en", "s"))
+    docs = make_docs(spark, [*rows, (500, None, "en", "s"), (501, "", "en", "s"), (None, items[0][1] * 2, "en", "s")])
+    benchmark = spark.createDataFrame([*items, (98, None), (99, "v1 v2"), (None, "never seen in any text at all")], "item_id bigint, text string")
+    got = decontamination.find_leaks(docs, benchmark).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len({(d, i) for d, i in planted.items()} & found) >= 0.95 * len(planted)
+    text_of, item_of = {r[0]: r[1] for r in rows}, dict(items)
+    for r in got:
+        if r["doc_id"] is not None:
+            passage = decontamination.words_of(text_of[r["doc_id"]][r["start"] : r["end"]])
+            item = decontamination.words_of(item_of[r["item_id"]])
+            assert plain_distance(item, passage) == r["distance"] <= 0.2 * len(item)
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None and r["doc_id"] % 2 == 0} == set()
+    kept = decontamination.drop_leaks(docs, benchmark, decontamination.Settings(block=5))
+    assert kept.columns == docs.drop("matches").columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in found} | {500, 501}
+    assert decontamination.find_leaks(empty, benchmark).count() == 0 and decontamination.find_leaks(docs, benchmark.limit(0)).count() == 0
+
+
+# -- 7 ---------------------------------------------------------------------------------------------------------------
+def test_secrets(spark, empty):
+    live, shared = "q7Zt0Lk93mPw5RxY2vBn8Hs", "AKIA" + "Q3ZK7P0XJ2M9T4LD"
+    rows = [(i, f"é key {shared} in docs", "en", f"s{i}") for i in range(4)]
+    rows += [(10, f'my Token="{live}" here', "en", "s1"), (11, f"bare {live} again", "en", "s1"), (12, "token=short secret=abc", "en", "s1"), (13, 'secret=token:"abcdefgh"', "en", None), (14, None, None, None), (15, "0123456789abcdef01234567", "en", "s2"), (16, "ſecret=abcdefghi", "en", "s2")]
+    docs = make_docs(spark, rows)
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    named = {d: [(s["kind"], s["start"], s["end"], s["live"]) for s in r["spans"]] for d, r in got.items()}
+    assert len(got) == len(rows) and all(named[i] == [("access", 6, 26, False)] and got[i]["spans"][0]["n_owners"] == 4 for i in range(4))
+    assert named[10] == [("assign", 3, 33, True)] and named[11] == [("owned", 5, 5 + len(live), True)] and named[12] == named[13] == named[14] == named[16] == []
+    assert named[15] == [("hex", 0, 24, True)] and got[10]["base_sha256"] == hashlib.sha256(b"assign:3:33").hexdigest()
+    assert got[12]["base_sha256"] == hashlib.sha256(b"").hexdigest() and (got[10]["n_assign"], got[0]["n_access"], got[15]["n_hex"]) == (1, 1, 1)
+    masked = {r["doc_id"]: r for r in secrets.mask_live(docs, F.col("source"), F.col("source")).collect()}
+    assert masked[10]["text"] == "my [secret] here" or masked[10]["text"] == 'my [secret]" here'
+    assert masked[0]["text"] == rows[0][1] and masked[14]["text"] is None and masked[11]["text"] == "bare [secret] again"
+    assert secrets.scan_secrets(empty, F.col("source"), F.col("source")).count() == 0 and secrets.mask_live(empty, F.col("source"), F.col("source")).count() == 0
+
+
+# -- 8 ---------------------------------------------------------------------------------------------------------------
+def test_quality(spark, corpus, empty):
+    rng, rows = random.Random(2), []
+    for i in range(200):
+        words = [rng.choice(ENGLISH) for _ in range(40)]
+        rows.append((i, " ".join(w + "###" if i % 4 == 0 else w for w in words), "en", "s"))
+    docs = make_docs(spark, [*rows, (300, None, None, None), (301, "", None, None)])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)] + [(301, None, 0), (999, 1, 0), (3, 1, 1)], "doc_id bigint, quality int, toxic int")
+    held = remainder("doc_id", 3) == 1
+    weights = quality.fit(docs, labels, ~held)
+    got = quality.score(docs, weights).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 4 > 0) for r in got if r["doc_id"] < 300)
+    assert all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] >= 300}) == 1
+    assert quality.fit(docs, labels, ~held).tolist() == weights.tolist()
+    assert {r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0), ~held)).collect()} == {0.5}
+    assert quality.score(empty, weights).count() == 0
+
+
+# -- 9 ---------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("range_rows", [50_000, 7])
+def test_mixing(spark, corpus, empty, range_rows):
+    got = mixing.mix(corpus, range_rows=range_rows).collect()
+    assert len(got) == corpus.count()
+    sizes = collections.Counter()
+    for _, text, source in texts_of(corpus):
+        sizes[source] += len((text or "").encode().split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    targets, free, left = {}, {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}, 1.5 * sum(sizes.values())
+    while free:
+        level = left / sum(free.values())
+        full = [n for n in free if free[n] * level > 2 * sizes[n]]
+        for n in full or list(free):
+            targets[n] = 2.0 * sizes[n] if full else free[n] * level
+            left -= targets[n]
+            del free[n]
+    taken = collections.Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(targets[r["source"]])
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[n] - targets[n]) <= 0.5 for n in names)
+    again = mixing.mix(corpus.repartition(5), range_rows=range_rows).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+    assert mixing.mix(empty).count() == 0
+
+
+# -- 10 --------------------------------------------------------------------------------------------------------------
+def test_chat_round_trip(spark):
+    rng = random.Random(6)
+    scraps = ["### ", "</turn>", "\\", "\\0", "\\1", ": ", "\n", "<", "###", "@", "é", "text", " "]
+    rows = []
+    for conv in range(40):
+        for turn in range(rng.randint(1, 6)):
+            role = rng.choice(["user", "assistant", "system", "tool: x", "User", "", None, "### \\", "@user"])
+            rows.append((conv, turn, role, rng.choice([None, "".join(rng.choice(scraps) for _ in range(rng.randint(0, 12)))]), "extra"))
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string")
+    done = chat.format_conversations(df)
+    got = done.select("conv_id", "segments", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()
+    for r in got:
+        own = [(role or "", text or "") for c, _, role, text, _ in rows if c == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == own
+        assert r["loss"] == "".join(t for role, t in own if role == "assistant")
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+
+
+def test_chat_order(spark):
+    def check(*roles):
+        df = spark.createDataFrame([(1, i, r, "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+        row = chat.format_conversations(df).first()
+        return row["valid"], row["error_turn"]
+
+    assert check("user", "assistant") == (True, None) and check("system", "user", "assistant", "user", "assistant") == (True, None)
+    assert check("user") == (False, 1) and check("assistant", "user") == (False, 0) and check("user", "user", "assistant") == (False, 1)
+    assert check("user", "assistant", "system") == (False, 2) and check("user", None) == (False, 1)
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(none).count() == 0
+    with pytest.raises(ValueError):
+        chat.Template(close="aa")

@@ -69,7 +69,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 0,
-    range_rows: int = 50_000,
+    range_rows: int = 4096,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes.
 

@@ -61,12 +61,12 @@ STITCHED = f"""with {PAGES}, r as (select group_id, record_id, string_agg(regexp
 from fx_pages group by group_id, record_id), g as (select group_id, string_agg(text, ' ' order by record_id) as text from r group by group_id)"""
 
 
-@query("a08_text_folder", f"""with {PAGES} select cast(record_id as varchar) as id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {fx.strip_sql('x')}), ' ') as fulltext from fx_pages where page_no=0 and group_id<20 and length(text)>0""")
+@query("a08_text_folder", f"""with {PAGES} select cast(record_id as varchar) || '_' || cast(page_no as varchar) as id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {fx.strip_sql('x')}), ' ') as fulltext from fx_pages where length(text)>0""")
 def a08(spark, sf):
     folder = scratch_path(spark, "texts")
-    rows = fx.pages(spark, sf).filter("page_no = 0 and group_id < 20").select("record_id", "text")
-    rows.repartition("record_id").write.partitionBy("record_id").text(folder)
-    return files.scan_text_folder(spark, folder, r"record_id=([^/]*)/")
+    rows = fx.pages(spark, sf).select(F.concat_ws("_", "record_id", "page_no").alias("page"), "text")
+    rows.repartition("page").write.partitionBy("page").text(folder)
+    return files.scan_text_folder(spark, folder, r"page=([^/]*)/")
 
 
 RELATIONS = f"""with {PAGES}, ft as (select * from fx_pages), rec as (select distinct record_id, group_id from fx_pages where record_id%9<>4)"""

@@ -9,7 +9,6 @@ from shelfmark.functions import hierarchy
 from shelfmark.operators.skew import DOC
 from shelfmark.session import bounded_rows
 
-MAX_CLASSES = 100_000
 UNCLASSIFIED_LABEL = "(unclassified)"
 
 

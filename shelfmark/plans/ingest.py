@@ -61,14 +61,12 @@ def export_texts(fulltext: DataFrame, harvested: DataFrame, pages_per_part: int
 
 
 def export_metadata(
-    harvested: DataFrame, import_conf: DataFrame, dedup: DataFrame | None = None, last_only: bool = False,
-    limit: int | None = None,
+    harvested: DataFrame, import_conf: DataFrame, dedup: DataFrame | None = None, last_only: bool = False
 ) -> DataFrame:
     """``library_id, id`` and the MARC fields per library and group; rows without any value are left out."""
     records = harvested.filter(F.length("raw_record") > 0)
     if dedup is not None:
-        groups = dedup if limit is None else dedup.orderBy("id").limit(limit)
-        records = records.join(groups.select(F.col("id").alias("dedup_record_id")), "dedup_record_id", "left_semi")
+        records = records.join(dedup.select(F.col("id").alias("dedup_record_id")), "dedup_record_id", "left_semi")
     library = import_conf.select(F.col("id").alias("import_conf_id"), "library_id")
     parsed = marc.parse_records(records.join(library, "import_conf_id").withColumnRenamed("id", "record_id"))
     keys = ["library_id", "dedup_record_id"]

@@ -189,3 +189,25 @@ def test_database_tables_are_read_by_key_range(spark):
     assert df._jdf.queryExecution().toRdd().getNumPartitions() == 4
     pages = relational.record_pages(df.toDF("harvested_record_id", "order_in_document", "fulltext"))
     assert pages.columns == ["record_id", "page_no", "text"]
+
+
+def test_neighbours_of_near_copies_with_large_norms(spark):
+    rng = np.random.default_rng(9)
+    for norm, gap in ((4, 1e-7), (20, 1e-7), (400, 1e-5), (10_000, 1e-6)):
+        base = rng.normal(size=(20, 16))
+        base *= norm / np.linalg.norm(base, axis=1)[:, None]
+        rows = np.repeat(base, 6, axis=0) + gap * rng.normal(size=(120, 16))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], f"{DOC} long, vector array<double>")
+        got = neighbours.nearest_neighbours(df, df, 3, pivots=7, exclude_self=True, test_chunk=16, train_chunk=32)
+        distance = np.sqrt(((rows[:, None, :] - rows[None, :, :]) ** 2).sum(-1))
+        np.fill_diagonal(distance, np.inf)
+        want = {i: np.sort(d)[:3] for i, d in enumerate(distance)}
+        for r in got.collect():
+            assert distance[r[DOC], r["neighbour"]] == pytest.approx(want[r[DOC]][r["rank"] - 1], rel=1e-12)
+
+
+def test_settings_without_effect_are_errors():
+    for spec in (Classifier("t", "kmeans"), Classifier("t", "neighbours"), Classifier("t", "naive_bayes", "hash"), Classifier("t", weight="auto")):
+        with pytest.raises(ValueError):
+            commands.check_specs([spec], automatic=False)
+    commands.check_specs([Classifier("t", "log"), Classifier("t", "neighbours", "hash", "auto")], automatic=True)

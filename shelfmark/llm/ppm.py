@@ -7,10 +7,12 @@ context predicts it with the bytes already ruled out excluded; the last resort i
 seen in a context are also seen in its suffixes, so what is ruled out after an escape is just the longer context's own
 set, and each node can hold the sums it needs: scoring is table lookups over whole batches.
 
-Counts cover the whole training corpus. The trie that is sent to the tasks has at most ``max_entries`` entries for each
-context length above two (shorter ones are bounded by nature): contexts counted less often than a power of two, the
-least one that fits, are left to their suffixes. The base score is an add-0.1 unigram model of words: words counted at
-least some power of two times, ``max_words`` at most, are looked up in the tasks, all others by a shuffled join.
+The trie covers the whole training corpus and grows with it. Its common contexts, those counted at least some power of
+two times, at most ``max_entries`` entries for each length above two (shorter ones are bounded by nature), are sent to
+the tasks. A byte whose context is not among them is left open there: the distinct open contexts meet the counts of all
+contexts with the same last bytes in a shuffle, are scored by the whole trie, and are joined back. So ``max_entries``
+bounds memory and has no influence on a score. The base score is an add-0.1 unigram model of words: words counted at least
+some power of two times, ``max_words`` at most, are looked up in the tasks, all others by a shuffled join.
 
 Defined cases: null texts are empty (the end mark alone); repeated rows are counted and scored each; an empty corpus
 gives a uniform model; an empty table gives no rows; columns other than the named ones are not read.
@@ -34,6 +36,8 @@ END = b""  # the word that ends a text
 BREAK = 10  # the byte that ends a text; no word holds it
 FLUSH_WORDS, FLUSH_GRAMS = 1 << 19, 1 << 21
 SLICE = 1 << 17  # positions scored at once: their arrays stay in cache
+SHORT = 2  # contexts up to this length are held whole by every task: 2^24 entries at most
+BUCKET_GRAMS = 1 << 18  # average number of grams scored together; the contexts with the same 3 last bytes have 2^24 at most
 
 
 @dataclass(frozen=True)
@@ -118,22 +122,38 @@ class Level:
     rest_escape: np.ndarray
 
 
+@dataclass
+class Sums:
+    """What the next longer contexts are built on: counts of the entries, sums and kinds of the nodes."""
+
+    counts: np.ndarray
+    entries: Table
+    total: np.ndarray
+    kinds: np.ndarray
+    nodes: Table
+
+
 @dataclass
 class Model:
     order: int
     levels: dict[int, Level] = field(default_factory=dict)
     missing: float = -math.log10(256)  # log10 of one of the bytes that were never seen
-
-
-def build(order: int, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """``tables``: for each length 0 .. order the sorted gram numbers and counts; a length may lack rare contexts, but
-    every context's suffixes are there."""
-    model = Model(order)
-    if not len(tables[0][0]):
-        return model
-    model.missing = -math.log10(256 - len(tables[0][0])) if len(tables[0][0]) < 256 else 0.0
-    below = None
-    for n in range(order + 1):
+    whole: bool = True  # False: contexts of full length may be missing although the corpus has them
+
+
+def build(
+    order: int, tables: dict[int, tuple[np.ndarray, np.ndarray]], base: tuple[Model, Sums] | None = None
+) -> tuple[Model, Sums | None]:
+    """The model of the sorted gram numbers and counts of each length, and the sums of its longest one.
+
+    A length may lack rare contexts, but every context's suffixes are there. With ``base``, a model of the shorter
+    lengths and its sums, ``tables`` holds the longer ones."""
+    model, below = Model(order), None
+    if base is not None:
+        model, below = Model(order, dict(base[0].levels), base[0].missing), base[1]
+    elif len(tables[0][0]):
+        model.missing = -math.log10(256 - len(tables[0][0])) if len(tables[0][0]) < 256 else 0.0
+    for n in sorted(tables):
         grams, counts = tables[n]
         if not len(grams):
             break
@@ -143,29 +163,31 @@ def build(order: int, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model
         node = np.cumsum(np.append(0, context[1:] != context[:-1]))
         rest = rest_escape = np.zeros(len(starts))
         if n:
-            short, short_counts, short_table, short_total, short_kinds, short_nodes = below
-            same = short_counts[short_table.find(grams & np.uint64((1 << (8 * n)) - 1))]
-            parent = short_nodes.find(context[starts] & np.uint64((1 << (8 * (n - 1))) - 1))
-            free = short_kinds[parent] - kinds
-            rest = short_total[parent] - np.add.reduceat(same, starts) + free
+            same = below.counts[below.entries.find(grams & np.uint64((1 << (8 * n)) - 1))]
+            parent = below.nodes.find(context[starts] & np.uint64((1 << (8 * (n - 1))) - 1))
+            free = below.kinds[parent] - kinds
+            rest = below.total[parent] - np.add.reduceat(same, starts) + free
             rest_escape = np.where(free > 0, np.log10(np.maximum(free, 1)) - np.log10(np.maximum(rest, 1)), 0.0)
             rest = np.log10(np.maximum(rest, 1))
         entries, nodes = Table(grams), Table(context[starts])
         share = np.log10(counts) - np.log10((total + kinds)[node])
         escape = np.log10(kinds) - np.log10(total + kinds)
         model.levels[n] = Level(entries, share, np.log10(counts), nodes, escape, rest, rest_escape)
-        below = grams, counts, entries, total, kinds, nodes
-    return model
+        below = Sums(counts, entries, total, kinds, nodes)
+    return model, below
 
 
-def score_codes(model: Model, codes: np.ndarray) -> np.ndarray:
-    """log10 probability of the byte of each gram number after its context."""
+def score_codes(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of the byte of each gram number after its context, and where it is open: there it is 0."""
     out, left = np.zeros(len(codes)), np.arange(len(codes))
     escaped = np.zeros(len(codes), bool)
     rest, rest_escape = np.zeros(len(codes)), np.zeros(len(codes))
+    open_ = np.arange(0)
     for n in range(model.order, -1, -1):
         level = model.levels.get(n)
         if level is None:
+            if n == model.order and not model.whole:
+                return out, left
             continue
         code = codes[left] & np.uint64((1 << (8 * (n + 1))) - 1)
         entry = level.entries.find(code)
@@ -178,8 +200,11 @@ def score_codes(model: Model, codes: np.ndarray) -> np.ndarray:
         k, b = np.flatnonzero(known), node[known]
         out[left[k]] += np.where(escaped[k], rest_escape[k], level.escape[b])
         escaped[k], rest[k], rest_escape[k] = True, level.rest[b], level.rest_escape[b]
+        if n == model.order and not model.whole:
+            open_ = left[~known]
+            left, escaped, rest, rest_escape = left[known], escaped[known], rest[known], rest_escape[known]
     out[left] += model.missing
-    return out
+    return out, open_
 
 
 # -- counting --------------------------------------------------------------------------------------------------------
@@ -247,24 +272,52 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], counts[order]
 
 
-def fit_trie(counts: DataFrame, settings: Settings) -> Model:
-    """The trie from the counts of :func:`count_corpus`."""
+def fit_trie(counts: DataFrame, settings: Settings) -> tuple[Model, tuple[Model, Sums | None]]:
+    """The trie of common contexts from the counts of :func:`count_corpus`, and the whole one of the short lengths."""
     grams = counts.filter(F.col("gram").isNotNull()).select("gram", "n")
     tables, least = {}, 1
     for n in range(settings.order + 1):
         own = grams
         if n < settings.order:
             own = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (n + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if n > 2:
+        if n > SHORT:
             contexts = own.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
             contexts = saved(contexts, f"contexts-{n}")
-            # a context may only be kept where its suffixes are
+            # a context may only be sent where its suffixes are
             least = max(least, _floor(contexts, F.col("k"), settings.max_entries))
             if least > 1:
                 kept = contexts.filter(F.col("n") >= least).select("context")
                 own = own.join(kept, F.shiftright("gram", 8) == F.col("context"), "left_semi")
         tables[n] = _arrays(own)
-    return build(settings.order, tables)
+    short = build(min(SHORT, settings.order), {n: t for n, t in tables.items() if n <= SHORT})
+    common, _ = build(settings.order, {n: t for n, t in tables.items() if n > SHORT}, short)
+    common.whole = least == 1
+    return common, short
+
+
+def score_open(codes: DataFrame, counts: DataFrame, n_grams: int, short: tuple[Model, Sums], order: int) -> DataFrame:
+    """``code, logp`` of distinct gram numbers ``code`` by the whole trie.
+
+    A context's suffixes and the counts of all of them end in the same bytes, so the contexts with the same last bytes
+    are scored together and apart from all others."""
+    buckets = F.lit(max(1, n_grams // BUCKET_GRAMS))
+    bucket = lambda c: F.pmod(F.xxhash64(F.shiftright(c, 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))), buckets)
+    sent = codes.sparkSession.sparkContext.broadcast(short)  # lengths up to SHORT
+
+    def run(grams: pa.Table, wanted: pa.Table) -> pa.Table:
+        wanted = wanted["code"].to_numpy()
+        gram, n = grams["gram"].to_numpy().astype(np.uint64), grams["n"].to_numpy()
+        tables = {}
+        for length in range(SHORT + 1, order + 1):
+            own, total = _merged([(gram & np.uint64((1 << (8 * (length + 1))) - 1), n)]) if len(gram) else (gram, n)
+            tables[length] = own, total.astype(np.float64)
+        model, _ = build(order, tables, sent.value)
+        values = [score_codes(model, wanted[i : i + SLICE].astype(np.uint64))[0] for i in range(0, len(wanted), SLICE)]
+        return pa.table({"code": wanted, "logp": np.concatenate([np.zeros(0), *values])})
+
+    grams = counts.filter(F.col("gram").isNotNull()).select(bucket(F.col("gram")).alias("bucket"), "gram", "n")
+    asked = codes.select(bucket(F.col("code")).alias("bucket"), "code")
+    return grams.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, "code bigint, logp double")
 
 
 def score(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -272,13 +325,13 @@ def score(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     counts = saved(count_corpus(rows.filter(train), "text", settings.order), "counts")
     words = counts.filter(F.col("word").isNotNull()).select("word", "n")
-    totals = words.agg(F.sum("n"), F.count(F.lit(1))).first()
+    totals = counts.agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.count("word"), F.count("gram")).first()
     all_, kinds = totals[0] or 0, totals[1]
     share = all_ + settings.addend * (kinds + 1)
     least = _floor(words, F.lit(1), settings.max_words)
     common = words.filter(F.col("n") >= least).toArrow()  # max_words at most
     table = dict(zip(common["word"].to_pylist(), common["n"].to_numpy().tolist(), strict=True))
-    model = fit_trie(counts, settings)
+    model, short = fit_trie(counts, settings)
     sent = docs.sparkSession.sparkContext.broadcast((model, table))  # bounded by max_entries and max_words
 
     def make():
@@ -289,8 +342,18 @@ def score(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text
             lists = [words_of(t) for t in utf8(piece, "text")]
             data, at, sizes = coded(lists, model.order)
             codes = gram_codes(data, at, model.order)
-            logp = np.concatenate([score_codes(model, codes[i : i + SLICE]) for i in range(0, len(codes), SLICE)])
-            scores = np.add.reduceat(logp, np.cumsum(sizes) - sizes)
+            parts = [score_codes(model, codes[i : i + SLICE]) for i in range(0, len(codes), SLICE)]
+            starts = np.cumsum(sizes) - sizes
+            scores = np.add.reduceat(np.concatenate([p[0] for p in parts]), starts)
+            left = np.concatenate([p[1] + i * SLICE for i, p in enumerate(parts)])
+            row = (np.searchsorted(starts, left, side="right") - 1).astype(np.uint64)
+            order = np.lexsort((codes[left], row))
+            row, code = row[order], codes[left][order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))) if len(row) else np.arange(0)
+            times = np.diff(np.append(first, len(row))).astype(np.int32)
+            ends = pa.array(np.searchsorted(row[first], np.arange(len(lists) + 1)), pa.int32())
+            open_codes = pa.ListArray.from_arrays(ends, pa.array(code[first].astype(np.int64)))
+            open_times = pa.ListArray.from_arrays(ends, pa.array(times))
             n_tokens, n_common, base, rare = [], [], [], []
             for w in lists:
                 w.append(END)
@@ -301,12 +364,13 @@ def score(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text
                 base.append(math.fsum(f for f in found if f is not None))
                 rare.append([{"word": x, "k": k} for x, k in others.items()])
             kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-            return [pa.array(n_tokens, pa.int64()), pa.array(n_common, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, kind)]
+            return [pa.array(n_tokens, pa.int64()), pa.array(n_common, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, kind), open_codes, open_times]
 
         return run
 
     rare_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType())]))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("_common", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("_rare", rare_type)]
+    fields += [T.StructField("_codes", T.ArrayType(T.LongType())), T.StructField("_times", T.ArrayType(T.IntegerType()))]
     scored = append(rows, fields, make, "text", ["doc_id"])
     scored = saved(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_row", F.inline("_rare")).join(words.filter(F.col("n") < least), "word", "left")
@@ -314,6 +378,12 @@ def score(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text
     log = F.log10((n + F.lit(settings.addend)) / F.lit(float(share if share else 1)))
     rare = rare.groupBy("_row").agg(F.sum(log * F.col("k")).alias("_more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("_known"))
     zero = F.lit(0)
+    if not model.whole:
+        left = scored.select("_row", F.inline(F.arrays_zip(F.col("_codes").alias("code"), F.col("_times").alias("k"))))
+        values = saved(score_open(left.select("code").distinct(), counts, totals[2], short, settings.order), "open")
+        left = left.join(values, "code").groupBy("_row").agg(F.sum(F.col("logp") * F.col("k")).alias("_open"))
+        scored = scored.drop("_codes", "_times").join(left, "_row", "left")
+        scored = scored.withColumn("score", F.col("score") + F.coalesce("_open", F.lit(0.0)))
     return scored.join(rare, "_row", "left").select(
         "doc_id", "n_tokens", (F.col("_common") + F.coalesce("_known", zero)).cast("long").alias("n_known"),
         F.lit(all_).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), "score",

@@ -191,10 +191,12 @@ def brute_ppm(training, text, order):
     return total
 
 
-@pytest.mark.parametrize("max_words", [1 << 18, 4])
-def test_ppm_against_brute_force(spark, corpus, empty, max_words):
+@pytest.mark.parametrize(("order", "max_words", "max_entries"), [(3, 1 << 18, 1 << 20), (3, 4, 40), (5, 4, 300), (5, 4, 0)])
+def test_ppm_against_brute_force(spark, corpus, empty, order, max_words, max_entries, monkeypatch):
+    """What is sent to the tasks has no influence on the scores, nor has the number of buckets."""
+    monkeypatch.setattr(ppm, "BUCKET_GRAMS", 500)
     small = corpus.filter("doc_id is null or doc_id <> 204")
-    settings = ppm.Settings(order=3, max_words=max_words)
+    settings = ppm.Settings(order=order, max_words=max_words, max_entries=max_entries)
     train = remainder("doc_id", 10) != 0
     got = collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ppm.score(small, train, settings=settings).collect())
     rows = [(d, (t or "").encode()) for d, t, _ in texts_of(small)]
@@ -204,19 +206,24 @@ def test_ppm_against_brute_force(spark, corpus, empty, max_words):
     for d, t in rows:
         own = [*ppm.words_of(t), ppm.END]
         base = sum(math.log10((words[w] + 0.1) / (n + 0.1 * (kinds + 1))) for w in own)
-        want[d, len(own), sum(words[w] > 0 for w in own), n, round(base, 6), round(brute_ppm(training, t, 3), 6)] += 1
+        want[d, len(own), sum(words[w] > 0 for w in own), n, round(base, 6), round(brute_ppm(training, t, order), 6)] += 1
     assert got == want
     assert ppm.score(empty, train).count() == 0
 
 
-def test_ppm_model_is_a_distribution_when_pruned(spark, corpus):
-    settings = ppm.Settings(order=4, max_entries=300)
+def test_ppm_model_is_a_distribution(spark, corpus):
     counts = ppm.count_corpus(corpus.filter("doc_id < 100"), "text", 4)
-    model = ppm.fit_trie(counts, settings)
-    assert len(model.levels[4].share) <= 300 < ppm.fit_trie(counts, ppm.Settings(order=4)).levels[4].share.size
+    whole, _ = ppm.fit_trie(counts, ppm.Settings(order=4))
+    sent, _ = ppm.fit_trie(counts, ppm.Settings(order=4, max_entries=300))
+    assert whole.whole and not sent.whole and len(sent.levels[4].share) <= 300 < len(whole.levels[4].share)
     for context in (b"the ", b"katz", b"zzzz", b"\n\n\n\n"):
         codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert (10 ** ppm.score_codes(model, codes)).sum() == pytest.approx(1)
+        scores, left = ppm.score_codes(whole, codes)
+        assert (10**scores).sum() == pytest.approx(1) and not len(left)
+        scores, left = ppm.score_codes(sent, codes)
+        assert len(left) in (0, 256)
+        if not len(left):
+            assert (10**scores).sum() == pytest.approx(1)
 
 
 # -- 5 ---------------------------------------------------------------------------------------------------------------

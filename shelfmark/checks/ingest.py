@@ -244,11 +244,13 @@ def c01(spark, sf):
     return merge.ordered_values(merged).select("id", "field", F.array_join("values", "|").alias("vals"))
 
 
-TEXTS = f", {PAGES}, tx as (select cast(record_id as varchar) as id, text as fulltext from fx_pages where page_no=0)"
+TEXTS = f""", {PAGES}, tx as (select cast(record_id as varchar) as id, string_agg(regexp_replace(regexp_replace(text, '-\\r?\\n', '', 'g'), '\\r?\\n', ' ', 'g'), ' ' order by page_no) as fulltext from fx_pages group by record_id)"""
 
 
 def texts(spark, sf):
-    return fx.pages(spark, sf).filter("page_no = 0").select(F.col("record_id").cast("string").alias("id"), F.col("text").alias("fulltext"))
+    own = fx.pages(spark, sf).withColumn("group_id", F.col("record_id"))  # every record is a group of its own
+    whole = merge.stitch_groups(merge.stitch_parts(own, 2))
+    return whole.select(F.col("group_id").cast("string").alias("id"), F.col("text").alias("fulltext"))
 
 
 @query("c02_records_with_content", f"with {SOURCES}{TEXTS} select id, line_no from fx_sources where id in (select id from tx where fulltext<>'')")

@@ -26,15 +26,15 @@ def final_threshold(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.withColumn("confidence", kept)
 
 
-def weighted_mean(scores: DataFrame, weights: DataFrame, doc: str = DOC) -> DataFrame:
+def weighted_mean(scores: DataFrame, weights: DataFrame, doc: str = DOC, by=()) -> DataFrame:
     """Sum of confidence times weight over classifiers, divided by the weights of *all* classifiers for the target.
 
-    The divisor is a column of the weight table, so the scores meet one lookup and one aggregate. The class is a hot
+    Both tables may have weights' own keys ``by`` (the fold). The divisor is a column of the weight table, so the scores meet one lookup and one aggregate. The class is a hot
     join key by nature (every document scores it), hence the salt.
     """
-    totals = weights.groupBy("target").agg(F.sum("weight").alias("_all"))
-    lookup = weights.join(totals, "target").select("classifier_id", "target", "weight", "_all")
-    joined = salted_join(scores, lookup, ["classifier_id", "target"], [doc])
+    totals = weights.groupBy(*by, "target").agg(F.sum("weight").alias("_all"))
+    lookup = weights.join(totals, [*by, "target"]).select(*by, "classifier_id", "target", "weight", "_all")
+    joined = salted_join(scores, lookup, [*by, "classifier_id", "target"], [doc])
     summed = joined.groupBy(doc, "target").agg(
         F.sum(F.col("confidence") * F.col("weight")).alias("_s"), F.first("_all").alias("_all")
     )
@@ -43,21 +43,31 @@ def weighted_mean(scores: DataFrame, weights: DataFrame, doc: str = DOC) -> Data
 
 
 def combine_confidences(
-    scores: DataFrame, weights: DataFrame, thresholds: dict[int, float] | None = None, threshold: float = 0.0, doc: str = DOC
+    scores: DataFrame, weights: DataFrame, thresholds: dict[int, float] | None = None, threshold: float = 0.0,
+    doc: str = DOC, by=(),
 ) -> DataFrame:
     """Ensemble by confidence: classifier thresholds, weighted mean, final threshold."""
     if thresholds:
         scores = above_threshold(scores, thresholds)
-    return final_threshold(weighted_mean(scores, weights, doc), threshold)
+    return final_threshold(weighted_mean(scores, weights, doc, by), threshold)
 
 
-def weighted_vote(documents: DataFrame, votes: DataFrame, weights: DataFrame, doc: str = DOC) -> DataFrame:
+def best_votes(scores: DataFrame, thresholds: dict[int, float] | None = None, doc: str = DOC, by=()) -> DataFrame:
+    """``doc, classifier_id, predicted``: each classifier's best positive target that reaches its threshold."""
+    if thresholds:
+        scores = above_threshold(scores, thresholds)
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "target")).alias("_best")
+    picked = scores.filter(F.col("confidence") > 0).groupBy(doc, "classifier_id", *by).agg(best)
+    return picked.select(doc, *by, "classifier_id", F.col("_best.target").alias("predicted"))
+
+
+def weighted_vote(documents: DataFrame, votes: DataFrame, weights: DataFrame, doc: str = DOC, by=()) -> DataFrame:
     """Target with the largest sum of vote weights; ties go to the lowest classifier, then to the target's name.
 
     ``votes`` is ``doc, classifier_id, predicted``; a document without votes is unclassified.
     """
-    cast = votes.filter(F.col("predicted") != UNCLASSIFIED).select(doc, "classifier_id", F.col("predicted").alias("target"))
-    weighed = salted_join(cast, weights, ["classifier_id", "target"], [doc], "left")
+    cast = votes.filter(F.col("predicted") != UNCLASSIFIED).select(doc, *by, "classifier_id", F.col("predicted").alias("target"))
+    weighed = salted_join(cast, weights, [*by, "classifier_id", "target"], [doc], "left")
     sums = weighed.groupBy(doc, "target").agg(
         F.sum(F.coalesce("weight", F.lit(0.0))).alias("_w"), F.min("classifier_id").alias("_c")
     )

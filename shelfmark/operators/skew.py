@@ -9,7 +9,6 @@ from shelfmark.session import cut
 
 DOC = "doc_idx"
 BLOCK_ROWS = 1 << 18
-SALTS = 16
 
 
 def sample_key(*columns: str, seed: int = 0) -> Column:
@@ -88,13 +87,15 @@ def exploded(df: DataFrame, keep: list[str], array: str | Column, *names: str, k
 
 
 def salted_join(
-    rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: list[str], how: str = "inner", salts: int = SALTS
+    rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: list[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Join ``rows`` with a settings-sized lookup (classes, weights) whose keys are hot by nature.
 
-    Each key of ``rows`` is spread over ``salts`` tasks and the lookup is repeated that often. No broadcast is forced:
-    adaptive execution broadcasts the lookup when its measured size allows, and joins by shuffle otherwise.
+    Each key of ``rows`` is spread over ``salts`` tasks (the session's shuffle partitions if not given) and the lookup is
+    repeated that often. No broadcast is forced: adaptive execution broadcasts the lookup when its measured size allows,
+    and joins by shuffle otherwise.
     """
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
@@ -106,8 +107,10 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
     The rows come pre-aggregated, one per document and key. Adaptive execution does the rest at run time: it
     broadcasts the lookup when its measured size allows, and in the shuffled join it splits the partition of a hot
     key over many tasks (inner and left joins). Nothing that follows needs this join's partitioning, so the split is
-    never given up.
+    never given up. A lookup that was aggregated by the key would be joined in the aggregate's own partitions, where
+    there is no shuffle to split; the key's hash as a further join column gives both sides a shuffle of their own.
     """
     if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
         raise RuntimeError("spark.sql.adaptive.enabled must be on: hot join keys are split by adaptive execution")
-    return rows.join(lookup, on, how)
+    key = F.xxhash64(*on)
+    return rows.withColumn("_key_hash", key).join(lookup.withColumn("_key_hash", key), [*on, "_key_hash"], how).drop("_key_hash")

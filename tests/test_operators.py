@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import clusters, ensemble, filters, linear, nbest, neighbours, sampling, skew, splits
-from shelfmark.operators.skew import DOC
+from shelfmark.operators.skew import DOC, lookup_join
 from shelfmark.plans import commands
 from shelfmark.plans.commands import Classifier
 from shelfmark.sources import relational, store
@@ -207,7 +207,79 @@ def test_neighbours_of_near_copies_with_large_norms(spark):
 
 
 def test_settings_without_effect_are_errors():
-    for spec in (Classifier("t", "kmeans"), Classifier("t", "neighbours"), Classifier("t", "naive_bayes", "hash"), Classifier("t", weight="auto")):
+    for spec in (Classifier("t", "kmeans"), Classifier("t", "neighbours"), Classifier("t", "naive_bayes", "hash")):
         with pytest.raises(ValueError):
-            commands.check_specs([spec], automatic=False)
-    commands.check_specs([Classifier("t", "log"), Classifier("t", "neighbours", "hash", "auto")], automatic=True)
+            commands.check_specs([spec])
+    for options in ({"mode": "x"}, {"balance": [("over", 1.0)]}):
+        with pytest.raises(ValueError):
+            commands.check_specs([Classifier("t", "log")], **options)
+    commands.check_specs([Classifier("t", "log"), Classifier("t", "neighbours", "hash", "auto")])
+
+
+def test_automatic_weights_of_every_fold(spark):
+    """No classifier vanishes: scores are the means with the weights learned from the fold's training set."""
+    df = small_corpus(spark)
+    kinds = {"fulltext": ("fulltext", "text_ngrams", 1)}
+    specs = [Classifier("fulltext", weight="auto"), Classifier("fulltext", "match_target", weight=0.5)]
+    docs = splits.stratified_folds(df.filter("target is not null").select(DOC, "target"), 3)
+    fold = {r[DOC]: r["fold"] for r in docs.collect()}
+    result = commands.testing(df, kinds, specs, folds=3, auto_folds=2)
+    weights = {(r["fold"], r["classifier_id"], r["target"]): r["weight"] for r in result["weights"].collect()}
+    for f in range(3):
+        own = commands.automatic_weights(df, docs.filter(F.col("fold") != f).select(DOC, "target"), specs, kinds, 2)
+        assert {(f, 0, r["target"]): pytest.approx(r["weight"]) for r in own.collect()} == {k: w for k, w in weights.items() if k[:2] == (f, 0)}
+    want = {}
+    for r in commands.ensemble_scores(df, docs, 3, specs, kinds).collect():
+        f, t = fold[r[DOC]], r["target"]
+        total = sum(w for (g, _, u), w in weights.items() if (g, u) == (f, t))
+        if (f, r["classifier_id"], t) in weights:
+            want[r[DOC], t] = want.get((r[DOC], t), 0.0) + r["confidence"] * weights[f, r["classifier_id"], t] / total
+    got = {(r[DOC], r["target"]): r["confidence"] for r in result["scores"].collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and got
+    auto_only = commands.testing(df, kinds, specs[:1], folds=3, auto_folds=2)["scores"].collect()
+    assert auto_only and {(r[DOC], r["target"]): r["confidence"] for r in auto_only} != got
+
+
+@pytest.mark.parametrize(("algorithm", "vectors"), [("naive_bayes", "tfidf"), ("match_target", "count"), ("neighbours", "hash")])
+def test_any_sets_agree_with_own_folds(spark, algorithm, vectors):
+    """Balancing that keeps every document goes the general way and must not change a score."""
+    df = small_corpus(spark).withColumn("fulltext", F.concat_ws(" ", "fulltext", "target"))
+    kinds = {"fulltext": ("fulltext", "text_ngrams", 1)}
+    specs = [Classifier("fulltext", algorithm, vectors)]
+    scores = [
+        {(r[DOC], r["target"]): r["confidence"] for r in commands.testing(df, kinds, specs, folds=3, balance=b)["scores"].collect()}
+        for b in ((), [("under", 1.0)])
+    ]
+    assert scores[0] and scores[1] == {k: pytest.approx(v) for k, v in scores[0].items()}
+
+
+def test_over_sampling_and_plain_folds_run(spark):
+    df = small_corpus(spark)
+    kinds = {"fulltext": ("fulltext", "text_ngrams", 1)}
+    out = commands.testing(df, kinds, [Classifier("fulltext")], folds=2, split="plain", balance=[("over", 1.0)], mode="vote")
+    assert out["predictions"].count() == 9
+    assert {r["n_train"] for r in out["per_target"].collect()} <= {1.5, 3.0, 4.0, 2.0, 2.5, 3.5}
+
+
+def test_hot_key_meets_an_aggregated_lookup_in_many_tasks(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    rows = spark.range(40_000).repartition(8).select(
+        F.lit(0).alias("fold"), F.col("id").alias(DOC), F.when(F.col("id") % 3 > 0, F.lit("the")).otherwise(F.col("id").cast("string")).alias("term"),
+        F.lit(1.0).alias("value"),
+    )
+    weights = rows.select("fold", "term").distinct().select("fold", "term", F.lit("x").alias("target"), F.lit(2.0).alias("weight"))
+    lookup = rows.groupBy("fold", "term").agg(F.count(F.lit(1)).alias("n"))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for df, total in ((lookup_join(rows, lookup, ["fold", "term"]), 40_000), (linear.margins(weights, rows), 40_000)):
+            assert len(df.collect()) == total
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

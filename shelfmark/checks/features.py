@@ -65,7 +65,7 @@ def h03(spark, sf):
 @query("h04_document_embeddings")
 def h04(spark, sf):
     df = fx.docs(spark, sf).select(DOC, tx.words("fulltext").alias("words"))
-    return ft.document_embeddings(df, "words", size=16, iterations=1, min_count=5, seed=1)
+    return ft.document_embeddings(df, "words", seed=1)
 
 
 NAMES = f""", names as (select distinct hier as target from fx_docs), nw as (select distinct target, upper(unnest({fx.tokens_sql('target')})) as term from names),

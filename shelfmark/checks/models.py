@@ -8,7 +8,7 @@ from shelfmark.checks import features as fc
 from shelfmark.checks import fixtures as fx
 from shelfmark.checks.metrics import r9
 from shelfmark.checks.registry import query
-from shelfmark.operators import bayes, clusters, ensemble, linear, neighbours, splits
+from shelfmark.operators import bayes, clusters, ensemble, neighbours
 from shelfmark.operators import features as ft
 from shelfmark.operators.evaluate import classified
 from shelfmark.operators.match import match_confidences
@@ -136,46 +136,15 @@ def i07(spark, sf):
     return clusters.score_kmeans(clusters.fit_kmeans(train, train, seed=3), e)
 
 
-def _linear(spark, sf, loss, steps=6):
-    """Hashed text vectors, half of the documents for training, all scored."""
-    docs = fx.docs(spark, sf).select(DOC, "target")
-    hashed = ft.hash_vectors(fc.text_terms(spark, sf), 2048).select(DOC, F.col("term").cast("string").alias("term"), "value")
-    train = docs.filter(F.col(DOC) % 2 == 0)
-    folds = splits.stratified_folds(train, 3)
-    return linear.calibrated(hashed.join(train.select(DOC), DOC, "left_semi"), train, hashed, folds.select(DOC, "fold"), 3, loss, steps)
-
-
-@query("i02_linear_svm")
-def i02(spark, sf):
-    return _linear(spark, sf, "squared_hinge")
-
-
-@query("i03_svm_with_probability")
-def i03(spark, sf):
-    return _linear(spark, sf, "hinge")
-
-
-@query("i05_sgd_losses")
-def i05(spark, sf):
-    """Margins of the log and the modified Huber loss; the other losses run in the tests."""
-    docs = fx.docs(spark, sf).select(DOC, "target", F.lit(0).alias("fold"))
-    hashed = ft.hash_vectors(fc.text_terms(spark, sf), 2048).select(F.lit(0).alias("fold"), DOC, F.col("term").cast("string").alias("term"), "value")
-    parts = []
-    for loss in ("log", "modified_huber"):
-        weights = linear.fit(hashed, docs, loss, steps=4)
-        parts.append(linear.margins(weights, linear.with_bias(hashed, docs)).withColumn("loss", F.lit(loss)))
-    return parts[0].unionByName(parts[1]).select("loss", DOC, "target", "margin")
-
-
-@query("i08_probability_calibration")
-def i08(spark, sf):
-    """Calibration of given margins: the class centroid's inner product with each vector."""
+@query("i07_kmeans_scores", CENTRES + """, dd as (select doc_idx, cen.target, sqrt(sum((x.x-value)*(x.x-value))) as distance from (select vec_id as doc_idx, unnest(embedding::double[]) as x, generate_subscripts(embedding,1)-1 as pos from embeddings) x join cen using (pos) group by all),
+h as (select *, bool_or(distance=0) over (partition by doc_idx) as hit from dd), w as (select doc_idx, target, case when hit then (distance=0)::double else 1/distance end as w from h)
+select doc_idx, target, round(w/sum(w) over (partition by doc_idx), 9) as confidence from w""")
+def i07_scores(spark, sf):
+    """Confidences from given clusters: the centroid of every class."""
     e = embeddings(spark, sf)
-    cells = e.select(DOC, F.posexplode("vector").alias("pos", "x"))
-    m = cells.join(clusters.centroids(e, e), "pos").groupBy(DOC, "target").agg(F.sum(F.col("x") * F.col("value")).alias("margin"))
-    rows = m.join(e.select(DOC, F.col("target").alias("own")), DOC).withColumn("fold", F.lit(0))
-    rows = rows.withColumn("y", (F.col("target") == F.col("own")).cast("double"))
-    return linear.calibrate(rows, linear.fit_calibration(rows))
+    lists = clusters.centroids(e, e).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("c"))
+    given = lists.select("target", F.lit(0).alias("cluster"), F.col("c.value").alias("vector"))
+    return r9(clusters.score_kmeans(given, e))
 
 
 AUTO = FOLDED.replace("{fold}", "doc_idx%4") + BAYES.format(train="d.fold<>a.fold") + """, p as (select nb.doc_idx, d.fold, d.target, nb.target as predicted, row_number() over (partition by nb.doc_idx order by confidence desc, nb.target) as rk from nb join d using (doc_idx)),

@@ -29,7 +29,8 @@ def term_centroids(terms: DataFrame, docs: DataFrame, doc: str = DOC) -> DataFra
 
 
 def _matrix(vectors) -> np.ndarray:
-    return np.array([list(v) for v in vectors], dtype=float)
+    rows = list(vectors)
+    return np.vstack(rows).astype(float) if rows else np.zeros((0, 1))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,7 +69,11 @@ def match_clusters(counts: list, order: dict[str, list[int]]) -> dict[int, str]:
     Each class wants its most frequent cluster; a contested cluster goes to the class with more documents in it and
     the loser moves on to its next cluster. A class that runs out takes the nearest cluster nobody holds.
     """
-    wishes = {t: sorted((-n, c) for (name, c, n) in counts if name == t) for t in order}
+    wishes: dict[str, list[tuple]] = {t: [] for t in order}
+    for t, c, n in counts:
+        wishes[t].append((-n, c))
+    for wanted in wishes.values():
+        wanted.sort()
     holder: dict[int, tuple[float, str]] = {}
     waiting = sorted(order)
     while waiting:

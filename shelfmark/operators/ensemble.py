@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators.evaluate import label_counts, with_prf
 from shelfmark.operators.nbest import UNCLASSIFIED
 from shelfmark.operators.skew import DOC, salted_join
-from shelfmark.session import bounded_rows, cut
+from shelfmark.session import cut, stored
 
 
 def above_threshold(scores: DataFrame, thresholds: dict[int, float]) -> DataFrame:
@@ -129,7 +129,7 @@ def redistribute(scores: DataFrame, shares: DataFrame, doc: str = DOC) -> DataFr
     )
 
 
-def learn_redistribution(scores: DataFrame, truth: DataFrame, doc: str = DOC, patience: int = 2, max_cells: int = 1_000_000):
+def learn_redistribution(scores: DataFrame, truth: DataFrame, doc: str = DOC, patience: int = 2):
     """Share tables to apply one after another: repeated while held-out accuracy grows, cut back to the best step.
 
     ``scores`` are held-out confidences ``doc, target, confidence`` and ``truth`` is ``fold, doc, target``.
@@ -146,8 +146,7 @@ def learn_redistribution(scores: DataFrame, truth: DataFrame, doc: str = DOC, pa
     pred, best_accuracy = evaluate(scores)
     tables, best_count, left = [], 0, patience
     while left > 0 and best_accuracy < 1:
-        shares = bounded_rows(confusion_shares(pred), max_cells, "confusion cells")
-        shares = scores.sparkSession.createDataFrame(shares, "predicted string, meant string, share double")
+        shares = stored(confusion_shares(pred), "shares")
         tables.append(shares)
         scores = cut(redistribute(scores, shares, doc))
         pred, accuracy = evaluate(scores)

@@ -127,9 +127,13 @@ def dense_hash_vectors(analysed: DataFrame, buckets: int, bucket=term_bucket, do
 
 def document_embeddings(
     df: DataFrame, words: str, size: int = 500, step: float = 0.025, window: int = 8, min_count: int = 5,
-    iterations: int = 10, seed: int = 0, partitions: int = 1, doc: str = DOC,
+    iterations: int = 10, seed: int = 0, partitions: int | None = None, doc: str = DOC,
 ) -> DataFrame:
-    """``doc, vector``: the mean of the document's word vectors, learned on the same documents."""
+    """``doc, vector``: the mean of the document's word vectors, learned on the same documents.
+
+    Training runs in ``partitions`` tasks (the session's shuffle partitions if not given).
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = Word2Vec(
         inputCol=words, outputCol="_v", vectorSize=size, stepSize=step, windowSize=window, minCount=min_count,
         maxIter=iterations, seed=seed, numPartitions=partitions,

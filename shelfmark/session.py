@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a plain scan of known size for the joins that follow."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a settings-sized table (class list, k x k matrix); more than ``limit`` rows is an error."""
     rows = df.limit(limit + 1).collect()

@@ -7,7 +7,8 @@ from tests.oracle import DATA, compare
 
 SAMPLE = [
     "a03_aligned_scan", "b09_match_items", "c01_record_merge", "d10_target_scores", "d13_top_n_accuracy", "d14_confusion_matrix",
-    "e01_n_best", "e09_stratified_shuffle", "g10_clean_text", "h03_hash_vectors", "i11_ensemble_by_confidence", "j10_metadata_export",
+    "e01_n_best", "e09_stratified_shuffle", "g10_clean_text", "h03_hash_vectors", "i07_kmeans_scores", "i08_probability_calibration",
+    "i11_ensemble_by_confidence", "j10_metadata_export",
 ]
 
 

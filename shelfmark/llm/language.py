@@ -5,8 +5,8 @@ of the product of their own numbers of n-grams: a blended-spectrum presence kern
 run of other characters as one gap. Landmark texts give the Nyström approximation; one ridge regression per language is
 solved on it; scoring is two matrix products per batch: presence by landmark n-grams, kernel by coefficients.
 
-The model is fitted on a bounded sample: ``landmarks`` texts and about ``max_rows`` labelled rows, spread evenly over
-the languages. Letters beyond the ``alphabet`` most common ones of the landmarks count as one letter.
+The model is fitted on a bounded sample: ``landmarks`` texts and about ``max_rows`` labelled texts, spread evenly over
+the languages; copies of a text count once in it, so a large group of copies cannot swell it. Letters beyond the ``alphabet`` most common ones of the landmarks count as one letter.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name;
 with no labelled row everything is ``und``; repeated rows are scored each; an empty table gives no rows; columns named
@@ -179,13 +179,17 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", la
         raise ValueError("n-grams have at most three letters")
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the number of different texts, estimated so that nothing but one sketch per language is shuffled
+    distinct = F.approx_count_distinct(F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct.alias("n")).collect()}
     if not counts:
         return _empty_model(settings)
     classes = sorted(counts)
     each = settings.max_rows / len(classes)
     share = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, each / counts[c]))])
     sample = rows.withColumn("_share", hash_share("text", 1)).filter(F.col("_share") < share[F.col("lang")])
+    # equal texts are chosen together: they are reduced in the tasks before the few left are shuffled
+    sample = sample.distinct()
     # landmarks: the first rows of each language in hash order, a few times what is needed, then cut
     wanted = max(1, settings.landmarks // len(classes))
     first = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, 3.0 * (wanted + 3) / counts[c]))])

@@ -70,6 +70,11 @@ def test_language(spark, corpus, empty):
     assert all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] is not None and r["doc_id"] < 200 or r["doc_id"] == 204)
     assert {r["lang_pred"] for r in got if r["doc_id"] in (200, 201, 202, 203)} == {"und"}
     assert language.identify(empty, model).count() == 0
+    # a large group of copies leaves the sample, and so the model, as it is
+    copies = corpus.filter("doc_id = 7").withColumn("doc_id", F.explode(F.sequence(F.lit(1000), F.lit(3000))))
+    few = language.Settings(landmarks=8, max_rows=20)
+    alone, crowded = language.fit(corpus, few), language.fit(corpus.unionByName(copies), few)
+    assert np.allclose(alone.coefficients, crowded.coefficients)
     assert {r["lang_pred"] for r in language.identify(corpus, language.fit(empty)).collect()} == {"und"}
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from shelfmark.llm import decontamination, dedup, language, mixing, secrets
 from shelfmark.llm.common import read, saved
 
-# A text whose best language scores less than this is in none of the learned languages.
-LEAST_LANGUAGE_SCORE = 0.2
+# A text whose best language scores less than this shares next to nothing with the learned languages; texts of one short
+# word score from 0.13 on.
+LEAST_LANGUAGE_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

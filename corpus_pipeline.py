@@ -12,7 +12,7 @@ from shelfmark.llm import decontamination, dedup, language, mixing, secrets
 from shelfmark.llm.common import read, saved
 
 # A text whose best language scores less than this shares next to nothing with the learned languages; texts of one short
-# word score from 0.13 on.
+# word scored from 0.12 on, and so can texts of an unlearned language in the same script; other scripts score 0.
 LEAST_LANGUAGE_SCORE = 0.1
 
 

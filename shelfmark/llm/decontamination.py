@@ -2,11 +2,10 @@
 
 Texts are sequences of lower-cased words; the edit distance is over words, and a passage matches an item of n words when
 it is at most floor(max_share * n). For every item length, windows of that many words start at every word of a document.
-A window can only match an item if it has all but the allowed number of the item's rarest words, and of all its words;
-the windows left are mapped by the CGK random walk (at each step the current word is written and a random bit of word and step says whether to move
-on), which turns edit distance into Hamming distance. Several walks with several samples of positions each give the
-buckets; windows that share a bucket with their item are verified by the exact distance of the item to the best passage
-around the window.
+A window can only match an item if it has all but the allowed number of the item's rarest words, and of all its words,
+each counted as often as the item has it. Every passage within the distance has such a window at its start, so nothing is
+lost for any length and share; all windows left are verified by the exact distance of the item to the best passage around
+the window.
 
 The items are a stated query set: they are read in blocks of about ``block`` items, each a pass over all documents
 without any shuffle.
@@ -30,19 +29,13 @@ from pyspark.sql import types as T
 from shelfmark.llm.common import append, texts
 
 WORD = re.compile(r"\w+")
-STEPS = 3  # length of an embedding, in lengths of its text
-CLASSES = 256
 
 
 @dataclass(frozen=True)
 class Settings:
     max_share: float = 0.2
     min_words: int = 5
-    walks: int = 8
-    tables: int = 6
-    sampled: int = 4
     block: int = 4096
-    seed: int = 7
 
 
 def lowered(text: str) -> str:
@@ -59,42 +52,6 @@ def allowed(n: int, max_share: float) -> int:
     return int(np.floor(max_share * n + 1e-9))
 
 
-class Walks:
-    """The random bits and sampled positions for windows of one length."""
-
-    def __init__(self, n: int, s: Settings):
-        rng = np.random.default_rng((s.seed, n))
-        self.n, steps = n, STEPS * n
-        self.bits = rng.integers(0, 2, (s.walks, steps, CLASSES), dtype=np.uint8)
-        # a walk has written a whole text after about 2n steps; later positions say nothing
-        self.samples = [[np.sort(rng.choice(2 * n, min(s.sampled, 2 * n), replace=False)) for _ in range(s.tables)] for _ in range(s.walks)]
-
-    def buckets(self, windows: np.ndarray) -> np.ndarray:
-        """Windows (count x n word numbers) -> bucket numbers (count x walks * tables)."""
-        count, n = windows.shape
-        padded = np.concatenate((windows, np.full((count, 1), -1, windows.dtype)), axis=1)
-        flat, base = padded.ravel(), np.arange(count) * (n + 1)
-        classes = ((flat.astype(np.int64) * 0x9E3779B1) >> 7) & (CLASSES - 1)
-        out = np.empty((count, sum(map(len, self.samples))), np.uint64)
-        column = 0
-        for bits, samples in zip(self.bits, self.samples, strict=True):
-            wanted = {int(p) for s in samples for p in s}
-            seen, at = {}, np.zeros(count, np.int64)
-            for step in range(max(wanted) + 1):
-                place = base + at
-                if step in wanted:
-                    seen[step] = flat[place].astype(np.uint64)
-                at = np.minimum(at + bits[step][classes[place]], n)
-            for s in samples:
-                key = np.full(count, column, np.uint64)
-                for p in s:
-                    key = (key ^ seen[int(p)]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(31)
-                out[:, column] = key
-                column += 1
-        return out
-
-
 def closest(item: np.ndarray, around: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of ``item`` to any passage of ``around``, with the passage's start and end: among the closest
     passages the one that ends first, and of those the one that starts last."""
@@ -125,7 +82,8 @@ class Matcher:
         self.edits = np.array([allowed(n, settings.max_share) for n in self.sizes.tolist()], np.int64)
         self.longest = int(self.sizes.max(initial=0))
         self.width = len(self.vocabulary) + 1
-        kinds = [np.unique(w) for _, w in self.items]
+        counted = [np.unique(w, return_counts=True) for _, w in self.items]
+        kinds = [k for k, _ in counted]
         none = np.zeros(0, np.int64)
         spread = np.bincount(np.concatenate([none, *kinds]), minlength=self.width)
         # of an item's rarest kinds of words, all but the allowed edits must be in a window
@@ -135,8 +93,8 @@ class Matcher:
         order = np.argsort(word, kind="stable")
         self.posted, self.first = owner[order], np.searchsorted(word[order], np.arange(self.width + 1))
         self.members = np.concatenate([none, *[i * self.width + k.astype(np.int64) for i, k in enumerate(kinds)]])
-        self.walks = {n: Walks(n, settings) for n in np.unique(self.sizes).tolist()}
-        self.keys = [self.walks[len(w)].buckets(w[None, :])[0] for _, w in self.items]
+        # how often the item has each member; 0 for words that are none
+        self.times = np.concatenate([none, *[c for _, c in counted], np.zeros(1, np.int64)])
 
     def _windows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, start) of the windows with enough of an item's rarest words. Only places of such words are looked at."""
@@ -157,23 +115,28 @@ class Matcher:
         return both // span, both % span
 
     def _candidates(self, numbers: np.ndarray) -> np.ndarray:
-        """(item, start) of the windows that share a bucket with the item."""
+        """(item, start) of the windows that have all but the allowed number of the item's words."""
         items, starts = self._windows(numbers)
         numbers = np.concatenate((numbers, np.zeros(self.longest, np.int32)))
         out = []
-        for n, walks in self.walks.items():
+        for n in np.unique(self.sizes).tolist():
             chosen = np.flatnonzero(self.sizes[items] == n)
             for i in range(0, len(chosen), 1 << 12):
                 item, start = items[chosen[i : i + (1 << 12)]], starts[chosen[i : i + (1 << 12)]]
-                windows = numbers[start[:, None] + np.arange(n)[None, :]]
-                key = item[:, None] * self.width + windows
-                found = self.members[np.minimum(np.searchsorted(self.members, key), len(self.members) - 1)] == key
-                enough = found.sum(axis=1) >= n - self.edits[item]
-                item, start, windows = item[enough], start[enough], windows[enough]
-                if len(item):
-                    own = np.array([self.keys[j] for j in item.tolist()])
-                    same = (walks.buckets(windows) == own).any(axis=1)
-                    out.append(np.stack((item[same], start[same]), axis=1))
+                key = item[:, None] * self.width + numbers[start[:, None] + np.arange(n)[None, :]]
+                member = np.searchsorted(self.members, key)
+                found = self.members[np.minimum(member, len(self.members) - 1)] == key
+                least = n - self.edits[item]
+                enough = found.sum(axis=1) >= least
+                item, start, least = item[enough], start[enough], least[enough]
+                # the same with each word counted as often as the item has it
+                member = np.sort(np.where(found, member, len(self.members))[enough], axis=1)
+                at = np.broadcast_to(np.arange(n), member.shape)
+                again = np.zeros(member.shape, bool)
+                again[:, 1:] = member[:, 1:] == member[:, :-1]
+                rank = at - np.maximum.accumulate(np.where(again, 0, at), axis=1)
+                enough = (rank < self.times[member]).sum(axis=1) >= least
+                out.append(np.stack((item[enough], start[enough]), axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     def _verified(self, item: int, numbers: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:

@@ -347,6 +347,21 @@ def test_leaks(spark, empty):
     assert decontamination.find_leaks(empty, benchmark).count() == 0 and decontamination.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 20, 50, 100, 200])
+def test_leaks_at_exactly_the_most_edits(n):
+    rng = random.Random(n)
+    items = [(i, [f"v{rng.randrange(3000)}" for _ in range(n)]) for i in range(8)]
+    matcher = decontamination.Matcher([(i, " ".join(w)) for i, w in items], decontamination.Settings())
+    batch = []
+    for case in range(80):
+        passage = list(items[case % 8][1])
+        for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+            passage[at : at + 1] = rng.choice([[], ["other"], [passage[at], "more"]])
+        before, after = (["pad"] * rng.randrange(30) for _ in range(2))
+        batch.append(" ".join(before + passage + after))
+    assert all(case % 8 in {m[0] for m in found} for case, found in enumerate(matcher.matches(batch)))
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 def test_secrets(spark, empty):
     live, shared = "q7Zt0Lk93mPw5RxY2vBn8Hs", "AKIA" + "Q3ZK7P0XJ2M9T4LD"

@@ -35,7 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks live-looking secrets in the texts; examples that many sources copy stay."""
+    """Masks the secrets of few sources in the texts; examples that many sources copy stay."""
     masked = secrets.mask_live(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -2,8 +2,9 @@
 
 Each text is scanned for base kinds (assignments, access keys, long hex strings) and for generic random-looking strings.
 Hashes of all candidate values are counted by distinct repositories and distinct owners over the whole corpus. A value
-seen with few owners is specific to them and, if it looks random, live; a value seen with many owners is a copied
-example. Generic strings become spans (kind ``owned``) only when they are live.
+seen with few owners is specific to them and live; a value seen with many owners is a copied example. The base kinds say
+by their pattern that a value is a secret, so ownership alone decides there, at any length and with or without digits;
+generic strings are candidates only if they look random, and become spans (kind ``owned``) only when they are live.
 
 Defined cases: a null text is empty; a null owner or repository is one of its own; positions are code points, the end
 exclusive; repeated rows are scanned each and count once for their repository; an empty table gives no rows; columns
@@ -33,9 +34,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "owned")
 
 GENERIC = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-BITS = 3.0  # least entropy per character of a random-looking value
+BITS = 3.0  # least entropy per character of a random-looking generic string
 SPANS = T.ArrayType(
-    T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), ("rank", T.IntegerType()), ("end", T.LongType()), ("hash", T.StringType()), ("random", T.BooleanType()))])
+    T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), ("rank", T.IntegerType()), ("end", T.LongType()), ("hash", T.StringType()))])
 )
 
 
@@ -73,8 +74,8 @@ def _scanner():
                 counts[k].append(sum(f[1] == k for f in base))
             listed = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in base)
             digests.append(hashlib.sha256(listed.encode()).hexdigest())
-            spans.append([{"start": s, "rank": k, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "random": random_looking(v)} for s, k, e, v in found])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("hash", pa.string()), ("random", pa.bool_())]))
+            spans.append([{"start": s, "rank": k, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for s, k, e, v in found])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("hash", pa.string())]))
         return [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, kind)]
 
     return scan
@@ -93,8 +94,8 @@ def scan_secrets(
 ) -> DataFrame:
     """doc_id, base counts, base_sha256, spans: start, end, kind, value's hash, n_owners, n_repos, copied, live.
 
-    ``copied``: at least ``copied_owners`` owners have the value. ``live``: fewer do, and it looks random. ``keep``
-    names further columns of each row to carry along.
+    ``copied``: at least ``copied_owners`` owners have the value. ``live``: fewer do. ``keep`` names further columns of each
+    row to carry along.
     """
     longs = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]]
     fields = [*longs, T.StructField("base_sha256", T.StringType()), T.StructField("spans", SPANS)]
@@ -107,7 +108,7 @@ def scan_secrets(
     # both sides are plain scans, so adaptive execution can split a hot value
     spans = spans.join(counts, "hash")
     copied = F.col("n_owners") >= copied_owners
-    spans = spans.withColumn("copied", copied).withColumn("live", ~copied & F.col("random"))
+    spans = spans.withColumn("copied", copied).withColumn("live", ~copied)
     spans = spans.filter((F.col("rank") < 3) | F.col("live"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     entry = F.struct("start", "rank", "end", kind.alias("kind"), "hash", "n_owners", "n_repos", "copied", "live")

@@ -362,6 +362,18 @@ def test_leaks_at_exactly_the_most_edits(n):
     assert all(case % 8 in {m[0] for m in found} for case, found in enumerate(matcher.matches(batch)))
 
 
+def test_leaks_of_short_items_and_unspaced_scripts(spark):
+    chinese, thai = "中华人民共和国的首都是哪一座城市", "เมืองหลวงของประเทศไทยคือเมืองอะไร"
+    items = [(1, "What is 2+2?"), (2, chinese), (3, thai), (4, "Ja?"), (5, "?!")]
+    texts = ["so WHAT is 2 + 2 then", "what is 2 or 2", "我们问" + chinese.replace("首", "省") + "呢", "他们走了很长的路才到城市", "ถาม" + thai.replace("คือ", "") + "ครับ", "ja, ja", "jar ?!"]
+    docs = make_docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = sorted((r["doc_id"], r["item_id"], r["distance"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in got)
+    assert [f[:3] for f in found] == [(0, 1, 0), (2, 2, 1), (4, 3, 2), (5, 4, 0), (5, 4, 0)]
+    assert found[0][3] == "WHAT is 2 + 2" and found[1][3] == chinese.replace("首", "省") and found[2][3] == thai.replace("คือ", "")
+    assert decontamination.words_of("iPhone手机 가나 ที่นี่ か\u3099x_1") == ["iphone", "手", "机", "가나", "ที่", "นี่", "か\u3099", "x_1"]
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 def test_secrets(spark, empty):
     live, shared = "q7Zt0Lk93mPw5RxY2vBn8Hs", "AKIA" + "Q3ZK7P0XJ2M9T4LD"

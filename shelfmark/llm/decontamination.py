@@ -19,6 +19,7 @@ match each; empty tables give no rows; columns other than the named ones are not
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -73,20 +74,67 @@ def allowed(n: int, max_share: float) -> int:
     return int(np.floor(max_share * n + 1e-9))
 
 
-def closest(item: np.ndarray, around: np.ndarray) -> tuple[int, int, int]:
-    """Least edit distance of ``item`` to any passage of ``around``, with the passage's start and end: among the closest
-    passages the one that ends first, and of those the one that starts last."""
+UNIT = 1 << 40  # distances are multiples of it, positions are below it
+PIECE = 1 << 12  # words of a text that are compared with an item at once
+
+
+def ends_of(item: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in ``around`` (0 to its length) the least edit distance of ``item`` to a passage that ends there, and
+    the last start of such a passage."""
     m = len(around)
     # the distance is the high part, the start (last is best) the low part, so that one minimum serves both
-    unit = 1 << 20
-    row = (unit - 1 - np.arange(m + 1)).astype(np.int64)
-    ramp = np.arange(m + 1, dtype=np.int64) * unit
+    row = (UNIT - 1 - np.arange(m + 1)).astype(np.int64)
+    ramp = np.arange(m + 1, dtype=np.int64) * UNIT
     for word in item:
-        new = row + unit
-        new[1:] = np.minimum(new[1:], row[:-1] + np.where(around == word, 0, unit))
+        new = row + UNIT
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(around == word, 0, UNIT))
         row = np.minimum.accumulate(new - ramp) + ramp
-    end = int(np.argmin(row // unit))
-    return int(row[end] // unit), unit - 1 - int(row[end] % unit), end
+    return row // UNIT, UNIT - 1 - row % UNIT
+
+
+def closest(item: np.ndarray, around: np.ndarray) -> tuple[int, int, int]:
+    """Least edit distance of ``item`` to any passage of ``around``, with the passage's start and end: among the closest
+    passages the one that ends first, and of those the one that starts last."""
+    distance, start = ends_of(item, around)
+    end = int(np.argmin(distance))
+    return int(distance[end]), int(start[end]), end
+
+
+def disjoint(item: np.ndarray, k: int, around: np.ndarray) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of disjoint passages of ``around`` within ``k`` edits: the closest, then the first, is taken
+    again and again from what the others leave free on either side.
+
+    A passage within k edits has at most n + k words, so pieces that overlap by as many give the same ends as the whole,
+    and taking a passage changes the free ends of the next n + k words only."""
+    n, m = len(item), len(around)
+    distance, start = np.full(m + 1, k + 1, np.int64), np.zeros(m + 1, np.int64)
+    for at in range(0, m + 1, PIECE):
+        low, high = max(0, at - n - k), min(m, at + PIECE - 1)
+        d, s = ends_of(item, around[low:high])
+        distance[at : high + 1], start[at : high + 1] = d[at - low :], s[at - low :] + low
+    near = np.flatnonzero(distance <= k)
+    best = list(zip(distance[near].tolist(), near.tolist(), strict=True))
+    heapq.heapify(best)
+    taken = np.zeros(m + 2, bool)  # ends that are inside a passage taken
+    found = []
+    while best:
+        d, b = heapq.heappop(best)
+        if taken[b] or distance[b] != d:
+            continue
+        a = int(start[b])
+        found.append((d, a, b))
+        taken[a + 1 : b + 1] = True
+        # the free ends behind it whose passages overlap it begin anew at its end
+        stop = np.flatnonzero(taken[b + 1 : min(m, b + n + k) + 1])
+        stop = b + int(stop[0]) if len(stop) else min(m, b + n + k)
+        later = slice(b + 1, stop + 1)
+        if ((distance[later] <= k) & (start[later] < b)).any():
+            old = distance[later].copy()
+            new, s = ends_of(item, around[b:stop])
+            distance[later], start[later] = new[1:], s[1:] + b
+            for e in (np.flatnonzero((distance[later] != old) & (distance[later] <= k)) + b + 1).tolist():
+                heapq.heappush(best, (int(distance[e]), e))
+    return found
 
 
 class Matcher:
@@ -160,17 +208,6 @@ class Matcher:
                 out.append(np.stack((item[enough], start[enough]), axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
-    def _verified(self, item: int, numbers: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
-        """(distance, start, end) of disjoint passages between ``low`` and ``high``, the closest first."""
-        n, k = int(self.sizes[item]), int(self.edits[item])
-        if high - low < n - k:
-            return []
-        distance, a, b = closest(self.items[item][1], numbers[low:high])
-        if distance > k:
-            return []
-        a, b = low + a, low + b
-        return [(distance, a, b), *self._verified(item, numbers, low, a), *self._verified(item, numbers, b, high)]
-
     def matches(self, batch: list[str | None]) -> list[list[tuple]]:
         """Per text (item_id, distance, start, end) in code points."""
         out = [[] for _ in batch]
@@ -196,7 +233,8 @@ class Matcher:
             else:
                 known.append([low, high])
         for (of, item), known in areas.items():
-            found = [m for low, high in known for m in self._verified(item, numbers, low, high)]
+            words, k = self.items[item][1], int(self.edits[item])
+            found = [(d, low + a, low + b) for low, high in known for d, a, b in disjoint(words, k, numbers[low:high])]
             if found:
                 spans = [m.span() for m in word_matches(batch[of])]
                 first = int(firsts[of])

@@ -374,6 +374,31 @@ def test_leaks_of_short_items_and_unspaced_scripts(spark):
     assert decontamination.words_of("iPhone手机 가나 ที่นี่ か\u3099x_1") == ["iphone", "手", "机", "가나", "ที่", "นี่", "か\u3099", "x_1"]
 
 
+def by_recursion(item, k, around, low=0):
+    distance, a, b = decontamination.closest(item, around)
+    if len(around) < len(item) - k or distance > k:
+        return []
+    return [(distance, low + a, low + b), *by_recursion(item, k, around[:a], low), *by_recursion(item, k, around[b:], low + b)]
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 12])
+def test_disjoint_passages_do_not_depend_on_pieces(piece, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", piece)
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        item, around = rng.integers(0, 3, rng.integers(1, 9)), rng.integers(0, 3, rng.integers(0, 60))
+        k = int(rng.integers(0, max(1, len(item) // 2)))
+        assert sorted(decontamination.disjoint(item, k, around)) == sorted(by_recursion(item, k, around))
+
+
+def test_item_repeated_2000_times():
+    item = [f"v{i}" for i in range(15)]
+    matcher = decontamination.Matcher([(1, " ".join(item))], decontamination.Settings())
+    found = matcher.matches([" ".join(item * 2000)])[0]
+    size = len(" ".join(item)) + 1
+    assert [m[:3] for m in found] == [(1, 0, i * size) for i in range(2000)]
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 def test_secrets(spark, empty):
     live, shared = "q7Zt0Lk93mPw5RxY2vBn8Hs", "AKIA" + "Q3ZK7P0XJ2M9T4LD"

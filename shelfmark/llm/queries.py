@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from shelfmark.llm import chat, decontamination, dedup, language, merkle, mixing, ppm, quality, rollup, secrets, tiff
+from shelfmark.llm import chat, decontamination, dedup, language, merkle, mixing, ppm, quality, repair, rollup, secrets, tiff
 from shelfmark.llm.common import append, read, remainder, saved, utf8
 from shelfmark.session import scratch_path
 
@@ -213,6 +213,66 @@ def field_sql(value: str) -> str:
     return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
 
 
+OP11_SQL = rf"""with recursive {CRC_SQL},
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fault from conversations cross join crc),
+g as (select conv_id, turn, case fault when 4 then 'user' else role end as role,
+  case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+  unnest(range(case fault when 0 then 0 when 3 then 2 else 1 end)) as copy from k),
+o as (select *, left(role, 1) as initial, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as body,
+  row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+  lag(left(role, 1)) over w as last from g window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+f as (select *, case when body = '' then 'blank' when seen > 1 then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from o),
+c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+  count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (last is not null and last || initial not in ('su', 'ua', 'au')) as illegal, count(*) as n from f group by conv_id),
+-- the least (cost, audit, repaired) per state: 1 nothing, 2 system, 3 user, 4 assistant; a user turn leads to 3 from all but 3
+b(conv_id, i, p) as (
+  select conv_id, 0, [struct_pack(c := 0, a := '', t := ''), struct_pack(c := 999999, a := '', t := ''), struct_pack(c := 999999, a := '', t := ''), struct_pack(c := 999999, a := '', t := '')] from c
+  union all select conv_id, i, [{{drop1}}, least({{drop2}}, {{keep_s}}), {{to_user}}, {{to_assistant}}] from (
+    select f.conv_id, f.i, role, text, initial, fault in ('blank', 'duplicate') as must, case fault when 'truncated' then 3 else 0 end as extra, p,
+      [p[1], p[2], least(p[3], {{ins_user}}), least(p[4], {{ins_assistant}})] as q from b join f on b.conv_id is not distinct from f.conv_id and f.i = b.i + 1)),
+e as (select c.conv_id, least(p[1], p[4], struct_pack(c := p[3].c + 3, a := p[3].a || 'I', t := p[3].t || 'assistant:' || chr(10)),
+  struct_pack(c := p[2].c + 6, a := p[2].a || 'II', t := p[2].t || 'user:' || chr(10) || 'assistant:' || chr(10))) as best
+  from b join c on b.conv_id is not distinct from c.conv_id and b.i = c.n)
+select d.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit,
+  sha256(coalesce(left(best.t, greatest(length(best.t) - 1, 0)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) d left join c on d.conv_id is not distinct from c.conv_id left join e on d.conv_id is not distinct from e.conv_id"""
+
+
+def _state(cost: str, of: str, letter: str, turn: str) -> str:
+    return f"struct_pack(c := {of}.c + {cost}, a := {of}.a || '{letter}', t := {of}.t || {turn})"
+
+
+def _to(name: str, sources: tuple[int, ...], same: int) -> str:
+    """The ways into a user or assistant state: kept, given a new role, or by deleting a row in the state."""
+    ways = [_state("4", f"q[{same}]", "D", "''")]
+    for s in sources:
+        ways.append(f"case when must or initial != '{name[0]}' then struct_pack(c := 999999, a := '', t := '') else {_state('extra', f'q[{s}]', 'K', 'role || chr(58) || text || chr(10)')} end")
+        ways.append(f"case when must then struct_pack(c := 999999, a := '', t := '') else {_state('3 + extra', f'q[{s}]', 'R', f"'{name}:' || text || chr(10)")} end")
+    return f"least({', '.join(ways)})"
+
+
+def _inserted(name: str, sources: tuple[int, ...]) -> str:
+    ways = [_state("3", f"p[{s}]", "I", f"'{name}:' || chr(10)") for s in sources]
+    return f"least({', '.join(ways)})"
+
+
+OP11_SQL = OP11_SQL.format(
+    drop1=_state("4", "q[1]", "D", "''"), drop2=_state("4", "q[2]", "D", "''"),
+    keep_s=f"case when must or initial != 's' then struct_pack(c := 999999, a := '', t := '') else {_state('extra', 'q[1]', 'K', 'role || chr(58) || text || chr(10)')} end",
+    to_user=_to("user", (1, 2, 4), 3), to_assistant=_to("assistant", (3,), 4),
+    ins_user=_inserted("user", (1, 2, 4)), ins_assistant=_inserted("assistant", (3,)),
+)
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.op_columns(rows, repair.repair(repair.damage(rows)))
+
+
 LEAF_SQL = "sha256({doc} || {source} || {lang} || {chars} || {text})"
 OP13_SQL = f"""with recursive {CRC_SQL},
 d as (select doc_id, lang, n_chars, {LEAF_SQL.format(doc=field_sql("doc_id"), source=field_sql("source"), lang=field_sql("lang"), chars=field_sql("n_chars"), text=field_sql("text"))} as leaf,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from shelfmark.llm import chat, decontamination, dedup, language, merkle, mixing, ppm, quality, repair, rollup, secrets, tiff
+from shelfmark.llm import chat, decontamination, dedup, language, merkle, mixing, ppm, quality, repair, repeats, rollup, secrets, tiff
 from shelfmark.llm.common import append, read, remainder, saved, utf8
 from shelfmark.session import scratch_path
 
@@ -209,6 +209,26 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+OP12_SQL = """with h as (select doc_id, row_number() over () as row, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select row, doc_id, p, substr(x, 2 * p + 1, 100) as g from (select row, doc_id, x, unnest(range(length(x) // 2 - 49)) as p from h)),
+m as (select g, min(doc_id) as least from w group by g),
+c as (select row, p, lag(p) over (partition by row order by p) as before from w join m using (g) where least < doc_id),
+i as (select row, p, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by row order by p) as island from c),
+s as (select row, min(p) as low, max(p) + 50 as high from i group by row, island),
+k as (select h.row, h.x, low, high, lag(high) over (partition by h.row order by low) as last, lead(low) over (partition by h.row order by low) as following from h join s on h.row = s.row),
+j as (select row, sum(high - low) as removed, count(*) as spans, string_agg(substr(x, 2 * coalesce(last, 0) + 1, 2 * (low - coalesce(last, 0))), '' order by low)
+      || max(case when following is null then substr(x, 2 * high + 1) end) as kept from k group by row)
+select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256
+from h left join j on h.row = j.row"""
+
+
+@query("op12_repeats", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    done = repeats.remove_repeats(read(spark, sf, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return done.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def field_sql(value: str) -> str:
     return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
 

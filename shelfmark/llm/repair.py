@@ -317,26 +317,24 @@ def _by_conversation(df: DataFrame, ascending: bool) -> DataFrame:
 
 
 def _behind(blocks: DataFrame) -> DataFrame:
-    """One pass backwards: the costs behind each block, and for every entry state the state after it."""
+    """One pass backwards: the costs behind each block."""
     array = T.ArrayType(T.LongType())
-    kept = [f for f in blocks.schema.fields if f.name in ("conv", "part", "seq", "first_turn", "last_turn", "first_initial", "last_initial")]
-    schema = T.StructType([*kept, T.StructField("behind", array), T.StructField("exits", array), T.StructField("ahead", T.LongType()), T.StructField("last", T.BooleanType())])
+    kept = [f for f in blocks.schema.fields if f.name in ("conv", "part", "seq", "first_turn", "last_turn", "first_initial", "last_initial", "symbols", "lengths")]
+    schema = T.StructType([*kept, T.StructField("behind", array), T.StructField("ahead", T.LongType()), T.StructField("last", T.BooleanType())])
 
     def back(stream):
-        conv, costs, choices, started = None, END, Choices(), False
+        conv, costs, started = None, END, False
         for row in stream:
             last = not started or row["conv"] != conv
             if last:
                 conv, costs, started = row["conv"], END, True
-            runs = list(zip(row.pop("symbols"), row.pop("lengths"), strict=True))
             row["behind"], row["last"] = list(costs), last
-            row["exits"] = [choices.of_block(runs, q, costs)[1] for q in range(4)]
             m = row.pop("matrix")
             costs = apply(tuple(tuple(m[i : i + 4]) for i in range(0, 16, 4)), costs)
             row["ahead"] = costs[START]
             yield row
 
-    chosen = blocks.select(*[f.name for f in kept], "symbols", "lengths", "matrix")
+    chosen = blocks.select(*[f.name for f in kept], "matrix")
     return _mapped(_by_conversation(chosen, False), schema, back)
 
 
@@ -347,10 +345,13 @@ def _entries(marked: DataFrame) -> DataFrame:
     schema = T.StructType([*kept, *[T.StructField(n, longs) for n in ("state", "illegal_border", "same_turn")], T.StructField("opens", T.BooleanType())])
 
     def forth(stream):
-        before = None
+        before, choices = None, Choices()
         for row in stream:
             opens = before is None or before["conv"] != row["conv"]
-            state = START if opens else before["exits"][before["state"]]
+            state = START
+            if not opens:
+                runs = list(zip(before["symbols"], before["lengths"], strict=True))
+                state = choices.of_block(runs, before["state"], tuple(before["behind"]))[1]
             row |= {"state": state, "opens": opens}
             row["illegal_border"] = 0 if opens else int(not _lawful(before["last_initial"], row["first_initial"]))
             row["same_turn"] = 0 if opens else int(row["first_turn"] is not None and row["first_turn"] == before["last_turn"])

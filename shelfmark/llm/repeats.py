@@ -40,6 +40,7 @@ CHUNK = 1 << 17
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 1 << 15
 RANGE_BYTES = 1 << 20  # of text per range of anchors, on average
 BATCH = 1 << 16  # suffixes per batch of the index
+TURN = 1 << 18  # suffixes of a range in memory at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFF)
@@ -298,7 +299,7 @@ def _ask_suffixes(plan: Plan):
             flags = [np.frombuffer(f, np.uint64) for f in held["flags"]]
             flagged = _long(_short(np.concatenate(flags), plan.width).tobytes(), plan.width)
             keep = np.isin(sent, flagged * _ODD ^ np.repeat(np.arange(len(flags)), [len(f) for f in flags]).astype(np.uint64) * _MIX)
-            h, first, count, owner = h[keep], first[keep], count[keep], owner[keep]
+            place, h, first, count, owner = place[keep], h[keep], first[keep], count[keep], owner[keep]
             keys = np.array(held["key"], np.int64)
             of = _slice_id(np.concatenate((keys, docs)))
             yield _message(of, 0, of, docs.tobytes(), keys.tobytes())
@@ -328,7 +329,7 @@ def _ask_suffixes(plan: Plan):
                 body = whole[chosen]
                 body = body[:, 1:][column < size[chosen][:, None]]
                 head = np.stack((owner[chosen], start, docs[owner[chosen]]), axis=1)
-                yield _message(r, 1, of, _pack(head), _pack(count[chosen].astype(np.uint8)), _pack(body))
+                yield _message(r, 1, of, _pack(head), _pack(count[chosen].astype(np.uint8)), _pack(body), _pack((place[chosen] - first[chosen]).astype(np.uint8)))
 
     return run
 
@@ -368,53 +369,81 @@ class Family:
         return out
 
 
-def _suffixes(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, owner's id, entry) of every suffix of one message."""
-    head, count = _unpack(row["a"], np.int64).reshape(-1, 3), _unpack(row["b"], np.uint8).astype(np.int64)
-    body = _unpack(row["c"], np.uint8)
-    size = count + length - 1
-    base = np.cumsum(size) - size
-    entry = np.repeat(np.arange(len(count)), count)
-    at = base[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, length)[at]).view(f"S{length}").ravel()
-    return strings, head[entry, 2], entry
+@dataclass
+class Asked:
+    """One message: strings with the suffixes they hold, and which of these have matched."""
+
+    row: dict
+    head: np.ndarray  # owner, start in the text, owner's id
+    count: np.ndarray
+    before: np.ndarray  # bytes before the anchor
+    body: np.ndarray
+    entry: np.ndarray
+    offset: np.ndarray
+    hit: np.ndarray
+
+    @staticmethod
+    def of(row: dict) -> Asked:
+        count = _unpack(row["b"], np.uint8).astype(np.int64)
+        entry = np.repeat(np.arange(len(count)), count)
+        offset = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+        head = _unpack(row["a"], np.int64).reshape(-1, 3)
+        return Asked(row, head, count, _unpack(row["d"], np.uint8), _unpack(row["c"], np.uint8), entry.astype(np.int32), offset.astype(np.int16), np.zeros(len(entry), bool))
+
+    def suffixes(self, length: int, passes: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, string, owner's id) of the suffixes whose distance to the anchor is of this turn."""
+        which = np.flatnonzero((self.before[self.entry] - self.offset) % passes == turn) if passes > 1 else np.arange(len(self.entry))
+        size = self.count + length - 1
+        at = (np.cumsum(size) - size)[self.entry[which]] + self.offset[which]
+        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.body, length)[at]).view(f"S{length}").ravel()
+        return which, strings, self.head[self.entry[which], 2]
+
+
+def _scan(asks: list[Asked], length: int, passes: int, turn: int) -> None:
+    """Batches into a family, then each against all its levels."""
+    family, batches, held, size = Family(), [], [], 0
+    for i, ask in enumerate(asks):
+        held.append((ask, *ask.suffixes(length, passes, turn)))
+        size += len(held[-1][1])
+        if size >= BATCH or i == len(asks) - 1:
+            strings, ids, which = family.array(*(np.concatenate([h[j] for h in held]) for j in (2, 3)))
+            if len(strings):
+                family.add(strings, ids)
+                batches.append((strings, which, [(h[0], h[1], h[3]) for h in held]))
+            held, size = [], 0
+    for strings, of, members in batches:
+        smallest, at = family.least(strings)[of], 0
+        for ask, which, ids in members:
+            ask.hit[which] = smallest[at : at + len(ids)] < ids
+            at += len(ids)
 
 
 def _answer_suffixes(plan: Plan):
-    """Round two, in a range: batches into the family, then each against all levels; matches go back to their slices."""
+    """Round two, in a range: matches go back to their slices. Equal suffixes have equal distances to their anchors, so a
+    range with many suffixes takes them in turns by this distance, and one of a frequent anchor stays bounded."""
 
     def run(batches):
         for rows in _groups(batches):
-            asks = [r for r in rows if r["kind"] == 1]
             yield from (r for r in rows if r["kind"] != 1)
-            family, batches_of, held, size = Family(), [], [], 0
-            for i, row in enumerate(asks):
-                held.append((row, *_suffixes(row, plan.length)))
-                size += len(held[-1][1])
-                if size >= BATCH or i == len(asks) - 1:
-                    strings, ids, which = family.array(*(np.concatenate([h[j] for h in held]) for j in (1, 2)))
-                    family.add(strings, ids)
-                    batches_of.append((strings, which, [(h[0], h[2], h[3]) for h in held]))
-                    held, size = [], 0
-            for strings, which, members in batches_of:
-                smallest, at = family.least(strings)[which], 0
-                for row, d, entry in members:
-                    hit = smallest[at : at + len(d)] < d
-                    at += len(d)
-                    if hit.any():
-                        yield _matches(row, entry, hit, plan.length)
+            asks = [Asked.of(r) for r in rows if r["kind"] == 1]
+            passes = min(plan.length - ANCHOR + 1, -(-sum(len(a.entry) for a in asks) // TURN))
+            for turn in range(passes):
+                _scan(asks, plan.length, passes, turn)
+            for ask in asks:
+                if ask.hit.any():
+                    yield _matches(ask, plan.length)
 
     return run
 
 
-def _matches(row: dict, entry: np.ndarray, hit: np.ndarray, length: int) -> dict:
+def _matches(ask: Asked, length: int) -> dict:
     """The runs of matching suffixes of one message as runs of bytes, to its slice."""
-    head = _unpack(row["a"], np.int64).reshape(-1, 3)
-    offset = np.arange(len(entry)) - np.searchsorted(entry, entry)
-    start = head[entry, 1] + offset
-    begins = hit & ~np.append(False, hit[:-1] & (entry[1:] == entry[:-1]))
-    stops = hit & ~np.append(hit[1:] & (entry[1:] == entry[:-1]), False)
-    return _message(row["slice"], 2, row["slice"], _pack(head[entry[begins], 0].astype(np.uint16)), _pack(start[begins]), _pack(start[stops] + length))
+    hit, same = ask.hit, ask.entry[1:] == ask.entry[:-1]
+    start = ask.head[ask.entry, 1] + ask.offset
+    begins = hit & ~np.append(False, hit[:-1] & same)
+    stops = hit & ~np.append(hit[1:] & same, False)
+    owner = ask.head[ask.entry[begins], 0].astype(np.uint16)
+    return _message(ask.row["slice"], 2, ask.row["slice"], _pack(owner), _pack(start[begins]), _pack(start[stops] + length))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

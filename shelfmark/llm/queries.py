@@ -211,8 +211,8 @@ def crc_sql(text: str) -> str:
 
 OP12_SQL = """with h as (select doc_id, row_number() over () as row, hex(encode(coalesce(text, ''))) as x from documents),
 -- pieces of 1000 strings keep substr from walking through long texts
-q as (select row, doc_id, at, substr(x, 2 * at + 1, 2098) as y from (select row, doc_id, x, unnest(range(0, greatest(length(x) // 2 - 49, 0), 1000)) as at from h)),
-w as (select row, doc_id, at + i as p, substr(y, 2 * i + 1, 100) as g from (select row, doc_id, at, y, unnest(range(length(y) // 2 - 49)) as i from q)),
+q as (select row, doc_id, base, substr(x, 2 * base + 1, 2098) as y from (select row, doc_id, x, unnest(range(0, greatest(length(x) // 2 - 49, 0), 1000)) as base from h)),
+w as (select row, doc_id, base + i as p, substr(y, 2 * i + 1, 100) as g from (select row, doc_id, base, y, unnest(range(length(y) // 2 - 49)) as i from q)),
 m as (select g, min(doc_id) as least from w group by g),
 c as (select row, p, lag(p) over (partition by row order by p) as before from w join m using (g) where least < doc_id),
 i as (select row, p, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by row order by p) as island from c),

@@ -98,6 +98,13 @@ def hash_entries(terms: str | Column, buckets: int, bucket=term_bucket) -> Colum
     return tx.bind(counted, scale)
 
 
+def count_entries(terms: str | Column) -> Column:
+    """Counts of a term list as ``ARRAY<STRUCT<term, value>>`` with a 64-bit hash for each term, made inside the row."""
+    return F.transform(tx.count_terms(F.transform(it.col(terms), lambda t: F.xxhash64(t))), lambda e: F.struct(
+        e["term"].alias("term"), e["value"].cast("double").alias("value")
+    ))
+
+
 def hash_vectors(
     analysed: DataFrame, buckets: int = HASH_BUCKETS, non_negative: bool = True, bucket=term_bucket, keys=(DOC, "kind")
 ) -> DataFrame:

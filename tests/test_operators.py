@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import clusters, ensemble, filters, linear, nbest, neighbours, sampling, skew, splits
+from shelfmark.operators import clusters, ensemble, filters, linear, nbest, neighbours, sampling, skew, sparse_neighbours, splits
 from shelfmark.operators.skew import DOC, lookup_join
 from shelfmark.plans import commands
 from shelfmark.plans.commands import Classifier
@@ -284,3 +284,27 @@ def test_hot_key_meets_an_aggregated_lookup_in_many_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_sparse_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        terms = np.unique(np.append(rng.integers(0, 40, rng.integers(0, 12)), rng.zipf(1.6, rng.integers(0, 6))))
+        rows.append((i * (1 << 33), i % 3, [(int(t), float(v)) for t, v in zip(terms, rng.integers(1, 4, len(terms)))]))
+    rows += [(7 + i, i % 3, rows[5][2]) for i in range(60)]  # copies
+    df = spark.createDataFrame(rows, f"{DOC} bigint, fold int, vector array<struct<term:bigint,value:double>>")
+    got = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sparse_neighbours, "TRAIN_ROWS", 50)
+        patch.setattr(sparse_neighbours, "TEST_ROWS", 30)
+        patch.setattr(sparse_neighbours, "FREQUENT", 100)
+        patch.setattr(sparse_neighbours, "COLUMNS", 3)
+        patch.setattr(sparse_neighbours, "PAIRS", 37)
+        for r in sparse_neighbours.sparse_neighbours(df, df, 4, fold="fold").collect():
+            got.setdefault(r[DOC], []).append((r["rank"], r["neighbour"], round(r["distance"], 9)))
+    vectors = {i: (f, dict(v)) for i, f, v in rows}
+    for i, (fold, v) in vectors.items():
+        square = lambda w: sum((v.get(t, 0.0) - w.get(t, 0.0)) ** 2 for t in {*v, *w})
+        want = sorted((round(square(w), 12), j) for j, (f, w) in vectors.items() if f != fold)[:4]
+        assert sorted(got[i]) == [(n + 1, j, round(d**0.5, 9)) for n, (d, j) in enumerate(want)]

@@ -3,10 +3,15 @@
 Texts are sequences of lower-cased words, where scripts written without spaces (Chinese, Japanese, Thai and the like) give
 a word per character, with its marks; the edit distance is over words, and a passage matches an item of n words when
 it is at most floor(max_share * n). For every item length, windows of that many words start at every word of a document.
-A window can only match an item if it has all but the allowed number of the item's rarest words, and of all its words,
-each counted as often as the item has it. Every passage within the distance has such a window at its start, so nothing is
-lost for any length and share; all windows left are verified by the exact distance of the item to the best passage around
-the window.
+
+1. Gate: windows without enough of the rarest words of any item of their length cannot match and are not read on.
+2. The random-walk embedding (see ``walks``) turns windows and items into strings whose Hamming distance stands for the
+   edit distance; tables of sampled symbols bring together windows and items that agree in one. The number of walks is set
+   per length and number of edits by the recall measured at exactly that many edits, ``target`` or more.
+3. Candidates are verified by the exact distance of the item to the best passage around the window.
+
+``exhaustive`` verifies all windows that have all but the allowed number of the item's words instead of 2: a condition that
+every match meets, so nothing is lost. It is what the tests compare with.
 
 The items are a stated query set: they are read in blocks of about ``block`` items, each a pass over all documents
 without any shuffle.
@@ -30,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.llm import walks
 from shelfmark.llm.common import append, texts
 
 # Scripts written without spaces between words: iteration marks, kana, bopomofo, Han; Thai, Lao, Myanmar, Khmer, Tai, Ahom.
@@ -53,6 +59,8 @@ class Settings:
     max_share: float = 0.2
     min_words: int = 1
     block: int = 4096
+    target: float = 0.998
+    exhaustive: bool = False
 
 
 def lowered(text: str) -> str:
@@ -137,10 +145,16 @@ def disjoint(item: np.ndarray, k: int, around: np.ndarray) -> list[tuple[int, in
     return found
 
 
+def efforts_of(items: list[tuple[int, str]], settings: Settings) -> dict[int, walks.Effort]:
+    """The walks for each length of the items."""
+    sizes = {len(words_of(text)) for _, text in items}
+    return {n: walks.effort(n, allowed(n, settings.max_share), settings.target) for n in sorted(sizes) if n >= max(1, settings.min_words)}
+
+
 class Matcher:
     """All items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], settings: Settings):
+    def __init__(self, items: list[tuple[int, str]], settings: Settings, efforts: dict[int, walks.Effort] | None = None):
         self.s, self.vocabulary, self.items = settings, {}, []
         for item_id, text in items:
             words = words_of(text)
@@ -164,6 +178,37 @@ class Matcher:
         self.members = np.concatenate([none, *[i * self.width + k.astype(np.int64) for i, k in enumerate(kinds)]])
         # how often the item has each member; 0 for words that are none
         self.times = np.concatenate([none, *[c for _, c in counted], np.zeros(1, np.int64)])
+        self.efforts = {} if settings.exhaustive else efforts or efforts_of(items, settings)
+        self.tables = {n: self._table(n) for n in self.efforts}
+
+    def _table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of the items of ``n`` words, and whose they are."""
+        mine = np.flatnonzero(self.sizes == n)
+        symbols = np.concatenate([self.items[i][1] for i in mine.tolist()])
+        start = np.arange(len(mine)) * n
+        keys = walks.keys(symbols, start, start + n, self.efforts[n], 0)
+        keys, owner = keys.ravel(), np.broadcast_to(mine, keys.shape).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        return keys[keys != 0], owner[keys != 0]
+
+    def _near(self, numbers: np.ndarray) -> np.ndarray:
+        """(item, start) of the windows that agree with an item in a table of sampled symbols."""
+        items, starts = self._windows(numbers)
+        numbers = np.concatenate((numbers, np.zeros(self.longest, np.int32)))
+        span, out = len(numbers), [np.zeros(0, np.int64)]
+        for n, (keys, owner) in self.tables.items():
+            start = np.unique(starts[self.sizes[items] == n])
+            for i in range(0, len(start), 1 << 12):
+                part = start[i : i + (1 << 12)]
+                asked = walks.keys(numbers, part, part + n, self.efforts[n], 1)
+                low = np.searchsorted(keys, asked.ravel(), side="left")
+                count = np.searchsorted(keys, asked.ravel(), side="right") - low
+                found = owner[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                at = np.repeat(np.broadcast_to(part, asked.shape).ravel(), count)
+                out.append(np.unique(found * span + at))
+        both = np.unique(np.concatenate(out))
+        return np.stack((both // span, both % span), axis=1)
 
     def _windows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, start) of the windows with enough of an item's rarest words. Only places of such words are looked at."""
@@ -223,7 +268,7 @@ class Matcher:
             joined += gap
         numbers, firsts = np.array(joined, np.int32), np.array(firsts, np.int64)
         areas = {}  # candidates of an item close to each other are verified together
-        for item, start in self._candidates(numbers).tolist():
+        for item, start in (self._candidates(numbers) if self.s.exhaustive else self._near(numbers)).tolist():
             n, k = int(self.sizes[item]), int(self.edits[item])
             of = int(np.searchsorted(firsts, start, side="right")) - 1
             low, high = max(int(firsts[of]), start - k), min(int(firsts[of]) + len(lists[of]), start + n + 2 * k)
@@ -248,8 +293,10 @@ FOUND = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item
 def annotate(docs: DataFrame, items: list[tuple[int, str]], settings: Settings = Settings(), text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``matches``: item_id, distance, start, end of each passage found, for one block of items."""
 
+    efforts = {} if settings.exhaustive else efforts_of(items, settings)  # measured once, here
+
     def make():
-        matcher = Matcher(items, settings)
+        matcher = Matcher(items, settings, efforts)
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "distance", "start", "end")]))
 
         def run(piece):

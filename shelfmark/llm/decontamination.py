@@ -328,7 +328,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
-    """The documents in which no passage matches an item, with all their columns; one pass per block of items."""
+    """The documents in which no passage matches an item, with all their columns, whatever their names; one pass per block."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     for items in blocks(benchmark, settings):
-        docs = annotate(docs, items, settings, text).filter(F.size("matches") == 0).drop("matches")
-    return docs
+        rows = annotate(rows, items, settings).filter(F.size("matches") == 0).drop("matches")
+    return rows.select("row.*")

@@ -127,7 +127,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_secrets")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Owners are sources, repositories the languages of a source."""
-    found = secrets.scan_secrets(read(spark, sf, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    found = secrets.scan_secrets(read(spark, sf, "documents"), F.col("source"), secrets.name(F.col("source"), F.col("lang")))
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
     copied = F.size(F.filter("spans", lambda s: s["copied"])).cast("long")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.listed(F.col("spans")).alias("spans"), live.alias("n_live"), copied.alias("n_copied"))

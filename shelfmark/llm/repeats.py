@@ -345,7 +345,7 @@ class Family:
         """Sorted distinct strings with the least id of each, and which of them each given string is."""
         order = np.argsort(strings, kind="stable")
         strings, ids = strings[order], ids[order]
-        new = np.append(True, strings[1:] != strings[:-1])
+        new = np.append(True, strings[1:] != strings[:-1])[: len(strings)]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)

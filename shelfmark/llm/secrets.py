@@ -89,6 +89,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
+def name(*parts: Column) -> Column:
+    """One text for the parts of an owner's or repository's name; null differs from every text."""
+    return F.concat_ws("/", *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts])
+
+
 def scan_secrets(
     docs: DataFrame, owner: Column, repo: Column, doc: str = "doc_id", text: str = "text", copied_owners: int = 3, keep: tuple[Column, ...] = ()
 ) -> DataFrame:
@@ -99,8 +104,7 @@ def scan_secrets(
     """
     longs = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]]
     fields = [*longs, T.StructField("base_sha256", T.StringType()), T.StructField("spans", SPANS)]
-    none = F.lit("")
-    rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(owner.cast("string"), none).alias("owner"), F.coalesce(repo.cast("string"), none).alias("repo"), *keep, F.col(text).alias("text"))
+    rows = docs.select(F.col(doc).alias("doc_id"), name(owner).alias("owner"), name(repo).alias("repo"), *keep, F.col(text).alias("text"))
     found = append(rows, fields, _scanner, "text", keep=[c for c in rows.columns if c != "text"])
     found = saved(found.withColumn("_row", F.monotonically_increasing_id()), "candidates")
     counts = saved(ownership(found), "ownership")
@@ -143,17 +147,14 @@ def _masker(mark: str):
 
 
 def mask_live(docs: DataFrame, owner: Column, repo: Column, doc: str = "doc_id", text: str = "text", mark: str = "[secret]", copied_owners: int = 3) -> DataFrame:
-    """``docs`` with every live span replaced by ``mark``; copied examples stay. All columns are kept."""
-    key = F.xxhash64(F.col(text))
-    found = scan_secrets(docs, owner, repo, doc, text, copied_owners, keep=(key.alias("_text"),))
+    """``docs`` with every live span replaced by ``mark``; copied examples stay. All columns are kept, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc).alias("id"), F.col(text).alias("text"), owner.alias("owner"), repo.alias("repo"))
+    key = F.xxhash64("text").alias("key")
+    found = scan_secrets(rows, F.col("owner"), F.col("repo"), "id", "text", copied_owners, keep=(key,))
     live = F.filter("spans", lambda s: s["live"])
-    masks = found.select("doc_id", "_text", F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_mask"))
+    masks = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_mask"))
     # equal rows have equal spans: one of them is enough
-    masks = saved(masks.filter(F.size("_mask") > 0).groupBy("doc_id", "_text").agg(F.first("_mask").alias("_mask")), "masks")
-    masks = masks.withColumnRenamed("doc_id", "_doc")
-    joined = docs.withColumn("_text", key).join(masks, F.col(doc).eqNullSafe(F.col("_doc")) & (masks["_text"] == key), "left")
-    joined = joined.select(*docs.columns, "_mask")
-    if text != "text":
-        raise ValueError("the text column is named text")
-    masked = append(joined, [T.StructField("_masked", T.StringType())], _masker(mark), "text")
-    return masked.withColumn("text", F.col("_masked")).select(*docs.columns)
+    masks = saved(masks.filter(F.size("_mask") > 0).groupBy("_id", "_key").agg(F.first("_mask").alias("_mask")), "masks")
+    joined = rows.select("row", "id", "text", key).join(masks, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    masked = append(joined.select("row", "text", "_mask"), [T.StructField("masked", T.StringType())], _masker(mark), "text", ["row", "_mask"])
+    return masked.select(*[F.col("masked").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

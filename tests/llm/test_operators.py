@@ -343,7 +343,7 @@ def test_leaks(spark, empty):
             assert plain_distance(item, passage) == r["distance"] <= 0.2 * len(item)
     assert {r["doc_id"] for r in got if r["doc_id"] is not None and r["doc_id"] % 2 == 0} == set()
     kept = decontamination.drop_leaks(docs, benchmark, decontamination.Settings(block=5))
-    assert kept.columns == docs.drop("matches").columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in found} | {500, 501}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in found} | {500, 501}
     assert decontamination.find_leaks(empty, benchmark).count() == 0 and decontamination.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 

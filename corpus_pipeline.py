@@ -19,7 +19,7 @@ LEAST_LANGUAGE_SCORE = 0.1
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in one of the languages learned from the documents; the rest has no letters or no language."""
     model = language.fit(docs)
-    marked = language.identify(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text")), model, text="_text", keep=["_doc"])
+    marked = language.identify(docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text")), model, text="_text", keep=["_doc"])
     kept = marked.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return kept.select("_doc.*")
 
@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks the secrets of few sources in the texts; examples that many sources copy stay."""
-    masked = secrets.mask_live(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+    masked = secrets.mask_live(docs, F.col("source"), secrets.name(F.col("source"), F.col("lang")))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

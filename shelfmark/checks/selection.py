@@ -9,6 +9,7 @@ from shelfmark.checks.registry import query
 from shelfmark.functions import items as it
 from shelfmark.operators import counts, filters
 from shelfmark.operators.skew import DOC, dense_index
+from shelfmark.plans import commands
 from shelfmark.session import scratch_path
 from shelfmark.sources import files, sinks
 
@@ -264,6 +265,5 @@ select target, count(*) as n_docs from d join m using (doc_idx) group by target"
 def target_counts(spark, sf):
     d = fx.docs(spark, sf).filter(F.col("quality").isNotNull()).select(DOC, "target")
     r = fx.records(spark, sf).select(DOC, it.split_items("brands").alias("brands"))
-    df = filters.max_per_item(d.join(r, DOC), {"brands": 20}, block_rows=256)
-    df = filters.min_per_item(df, {"brands": 5})
+    df = commands.select_documents(d.join(r, DOC), max_per_item={"brands": 20}, min_per_item={"brands": 5})
     return counts.descending(counts.documents_per_target(df))

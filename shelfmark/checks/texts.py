@@ -11,6 +11,7 @@ from shelfmark.checks.registry import query
 from shelfmark.functions import text as tx
 from shelfmark.operators import lexicon as lx
 from shelfmark.operators.skew import DOC, exploded
+from shelfmark.plans import commands
 from shelfmark.session import scratch_path
 from shelfmark.sources import files, sinks
 
@@ -191,9 +192,7 @@ def j01(spark, sf):
     source, out = scratch_path(spark, "data.txt"), scratch_path(spark, "clean.txt")
     d = fx.docs(spark, sf)
     sinks.write_texts(files.tokens(d), source)
-    lines = files.number_lines(files.scan_texts(spark, source))
-    clean = lx.preprocess(lines, lexicon=fx.lexicon(spark, sf), lemmas=True, stop_words=STOP, min_length=2, case="lower")
-    sinks.write_text_lines(clean, out)
+    commands.preprocessing(spark, source, out, lexicon=fx.lexicon(spark, sf), lemmas=True, stop_words=STOP, min_length=2, case="lower")
     return files.number_lines(files.scan_texts(spark, out))
 
 

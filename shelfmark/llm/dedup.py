@@ -264,23 +264,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), doc: str = "doc_i
 def keep_one(docs: DataFrame, s: Settings = Settings(), doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, with all its columns, whatever their names; it is the one with the least id.
 
-    Rows that share an id with others, have none, or have ids that are not whole numbers are told apart by a hash of id and
-    text: only rows whose texts are in one class collapse, equal rows to one; which row of a class with such rows stays
-    depends on the hash, and is the same in every run."""
+    Rows whose id has several texts, is null, or is no whole number are told apart by a hash of id and text (from 2^62 on,
+    so that other ids win): only rows whose texts are in one class collapse, and equal rows to one."""
     rows = docs.select(F.struct("*").alias("row"), F.col(doc).alias("id"), F.col(text).alias("text"))
-    made = -F.shiftrightunsigned(F.xxhash64("id", "text"), 2) - 1
-    repeated = rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = saved(repeated.select(F.col("id").alias("_id")), "repeated")
+    made = F.shiftrightunsigned(F.xxhash64("id", "text"), 2) + F.lit(1 << 62)
+    print_ = F.xxhash64("text")
+    repeated = rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(print_).alias("low"), F.max(print_).alias("high"))
+    repeated = saved(repeated.filter("n > 1").select(F.col("id").alias("_id"), (F.col("low") != F.col("high")).alias("_made")), "repeated")
     if not isinstance(docs.schema[doc].dataType, T.IntegralType):
-        keyed = rows.select("row", "text", F.lit(True).alias("made"), made.alias("key"))
+        keyed = rows.select("row", "text", F.lit(True).alias("again"), made.alias("key"))
     elif repeated.isEmpty() and rows.filter("id is null").isEmpty():
-        keyed = rows.select("row", "text", F.lit(False).alias("made"), F.col("id").cast("long").alias("key"))
+        keyed = rows.select("row", "text", F.lit(False).alias("again"), F.col("id").cast("long").alias("key"))
     else:
-        known = rows.filter("id is not null").join(repeated, F.col("id") == F.col("_id"), "left").withColumn("made", F.col("_id").isNotNull()).drop("_id")
-        known = known.unionByName(rows.filter("id is null").withColumn("made", F.lit(True)))
-        keyed = known.select("row", "text", "made", F.when(F.col("made"), made).otherwise(F.col("id").cast("long")).alias("key"))
+        own = F.when(F.col("_made"), made).otherwise(F.col("id").cast("long"))
+        known = rows.filter("id is not null").join(repeated, F.col("id") == F.col("_id"), "left")
+        keyed = known.select("row", "text", F.col("_id").isNotNull().alias("again"), own.alias("key"))
+        keyed = keyed.unionByName(rows.filter("id is null").select("row", "text", F.lit(True).alias("again"), made.alias("key")))
     gone = saved(classes(keyed, s, "key", "text"), "gone").select(F.col("doc_id").alias("_key"))
     kept = keyed.join(gone, F.col("key") == F.col("_key"), "left_anti")
     # rows that are equal in id and text; most tables have none
-    once = kept.filter("made").dropDuplicates(["key"])
-    return kept.filter(~F.col("made")).unionAll(once).select("row.*")
+    once = kept.filter("again").dropDuplicates(["key"])
+    return kept.filter(~F.col("again")).unionAll(once).select("row.*")

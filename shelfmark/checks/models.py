@@ -129,11 +129,50 @@ def c12(spark, sf):
     return r9(df.withColumn("rank", F.col("rank").cast("bigint")).withColumn("cluster", F.col("cluster").cast("bigint")))
 
 
-@query("i07_kmeans_classifier")
+def matching_sql(name: str, wishes: str, rounds: int = 60) -> str:
+    """``<name>`` (target, cluster): deferred acceptance over ``wishes`` (target, cluster, wish, claim)."""
+    parts = [f", {name}0 as materialized (select *, row_number() over (partition by target order by wish, cluster) as place from ({wishes}))"]
+    for r in range(rounds):
+        parts.append(f""", {name}p{r} as materialized (select *, row_number() over (partition by cluster order by claim, target) as rk from (select * from {name}{r} qualify place=min(place) over (partition by target))),
+{name}{r + 1} as materialized (select * from {name}{r} anti join (select target, place from {name}p{r} where rk>1) using (target, place))""")
+    return "".join(parts) + f", {name} as materialized (select target, cluster from {name}p{rounds - 1})"
+
+
+def lloyd_sql(iterations: int) -> str:
+    """Centres ``k<iterations>`` (cluster, c) of the rows ``tr`` (doc_idx, v, target) from the seeds ``k0``."""
+    return "".join(f""", s{i} as (select doc_idx, v, arg_min(cluster, (list_distance(v, c), cluster)) as cluster from tr, k{i - 1} group by doc_idx, v),
+m{i} as (select cluster, list(x order by pos) as c from (select cluster, pos, avg(x) as x from (select cluster, unnest(v) as x, generate_subscripts(v,1) as pos from s{i}) group by cluster, pos) group by cluster),
+k{i} as materialized (select cluster, coalesce(m.c, k.c) as c from k{i - 1} k left join m{i} m using (cluster))""" for i in range(1, iterations + 1))
+
+
+KMEANS_STEPS = 20
+KMEANS = f"""with e as (select vec_id as doc_idx, embedding::double[] as v, 'c'||label as target from embeddings), tr as materialized (select * from e where doc_idx%4<>0),
+sd as (select v, row_number() over (order by substr(md5('3:'||doc_idx), 1, 15), doc_idx)-1 as cluster from tr),
+k0 as materialized (select cluster, v as c from sd where cluster < (select count(distinct target) from tr)){lloyd_sql(KMEANS_STEPS)},
+fin as materialized (select cluster, c from k{KMEANS_STEPS}), al as (select doc_idx, tr.target, arg_min(cluster, (list_distance(v, c), cluster)) as cluster from tr, fin group by doc_idx, tr.target),
+cc as materialized (select target, cluster, -count(*) as wish, -count(*) as claim from al group by target, cluster),
+ce as (select target, list(x order by pos) as v from (select target, pos, avg(x) as x from (select target, unnest(v) as x, generate_subscripts(v,1) as pos from tr) group by target, pos) group by target),
+nd as materialized (select target, cluster, list_distance(v, c) as wish, list_distance(v, c) as claim from ce, fin)
+{matching_sql("hd", "select * from cc")}{matching_sql("fr", "select * from nd where target not in (select target from hd) and cluster not in (select cluster from hd)", 20)},
+mt as materialized (select * from hd union all select * from fr)"""
+
+
+@query("i07_kmeans_fit", KMEANS + " select target, cluster, pos, round(x, 9) as value from (select target, cluster, unnest(c) as x, generate_subscripts(c,1)-1 as pos from fin left join mt using (cluster))")
+def i07_fit(spark, sf):
+    """Centres and classes of a fit from seeds chosen by hash."""
+    train = embeddings(spark, sf).filter(F.col(DOC) % 4 != 0)
+    fitted = clusters.fit_kmeans(train, train, seed=3, iterations=KMEANS_STEPS)
+    rows = fitted.select("target", F.col("cluster").cast("bigint").alias("cluster"), F.posexplode("vector").alias("pos", "value"))
+    return r9(rows.withColumn("pos", F.col("pos").cast("bigint")))
+
+
+@query("i07_kmeans_classifier", KMEANS + """, dd as (select doc_idx, mt.target, list_distance(v, c) as distance from e, fin join mt using (cluster)),
+w as (select doc_idx, target, case when bool_or(distance=0) over (partition by doc_idx) then (distance=0)::double else 1/distance end as w from dd)
+select doc_idx, target, round(w/sum(w) over (partition by doc_idx), 9) as confidence from w""")
 def i07(spark, sf):
     e = embeddings(spark, sf)
     train = e.filter(F.col(DOC) % 4 != 0)
-    return clusters.score_kmeans(clusters.fit_kmeans(train, train, seed=3), e)
+    return r9(clusters.score_kmeans(clusters.fit_kmeans(train, train, seed=3, iterations=KMEANS_STEPS), e))
 
 
 @query("i07_kmeans_scores", CENTRES + """, dd as (select doc_idx, cen.target, sqrt(sum((x.x-value)*(x.x-value))) as distance from (select vec_id as doc_idx, unnest(embedding::double[]) as x, generate_subscripts(embedding,1)-1 as pos from embeddings) x join cen using (pos) group by all),

@@ -93,12 +93,53 @@ def test_neighbours_are_exact_with_hot_cells_and_copies(spark):
             assert found[i] == order, (pivots, i)
 
 
-def test_cluster_matching_resolves_conflicts():
+def matched(spark, counts, distances):
+    counts = spark.createDataFrame(counts, "target string, cluster int, n bigint")
+    distances = spark.createDataFrame(distances, "target string, cluster int, distance double")
+    return {r["cluster"]: r["target"] for r in clusters.match_clusters(counts, distances).collect()}
+
+
+def test_cluster_matching_resolves_conflicts(spark):
     # both classes prefer cluster 0; b has more documents in it, a moves on
-    counts = [("a", 0, 5), ("a", 1, 2), ("b", 0, 9)]
-    assert clusters.match_clusters(counts, {"a": [0, 1], "b": [0, 1]}) == {0: "b", 1: "a"}
+    near = [("a", 0, 0.0), ("a", 1, 1.0), ("b", 0, 0.0), ("b", 1, 1.0)]
+    assert matched(spark, [("a", 0, 5), ("a", 1, 2), ("b", 0, 9), ("b", 1, 1)], near) == {0: "b", 1: "a"}
     # a class that runs out takes the nearest free cluster
-    assert clusters.match_clusters([("a", 0, 1), ("b", 0, 9)], {"a": [0, 2, 1], "b": [0]}) == {0: "b", 2: "a"}
+    assert matched(spark, [("a", 0, 1), ("b", 0, 9)], [("a", 0, 0.0), ("a", 2, 1.0), ("a", 1, 2.0), ("b", 0, 0.0)]) == {0: "b", 2: "a"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cluster_matching_is_stable(spark, seed):
+    rnd = random.Random(seed)
+    counts = [(t, c, rnd.randrange(1, 5)) for t in "abcdefg" for c in range(7) if rnd.random() < 0.5]  # with ties
+    got = matched(spark, counts, [(t, c, rnd.random()) for t in "abcdefg" for c in range(7)])
+    assert sorted(got.values()) == list("abcdefg")  # as many clusters as classes: everyone gets one
+    n = {(t, c): k for t, c, k in counts}
+    own = {t: c for c, t in got.items()}
+    for t, c, k in counts:  # nobody prefers a cluster that would rather have them
+        better = (-k, c) < (-n.get((t, own[t]), 0), own[t])
+        assert not (better and (-k, t) < (-n.get((got[c], c), 0), got[c]))
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 7])
+def test_lloyd_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(clusters, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.5, (20, 3)) for c in (0, 4, 9)] + [np.zeros((15, 3))])  # with copies
+    seeds = np.vstack([x[[0, 1, 25]], [[99.0, 99.0, 99.0]]])  # the last one stays empty and keeps its centre
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{DOC} bigint, vector array<double>")
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(seeds)], "cluster int, vector array<double>")
+    want = seeds.copy()
+    for _ in range(6):
+        at = ((x[:, None] - want[None]) ** 2).sum(2).argmin(1)
+        want = np.array([x[at == c].mean(0) if (at == c).any() else want[c] for c in range(4)])
+    got = {r["cluster"]: r["vector"] for r in clusters.lloyd(vectors, given, 6).collect()}
+    assert got == {c: pytest.approx(want[c].tolist()) for c in range(4)}
+
+
+def test_kmeans_of_nothing(spark):
+    none = spark.createDataFrame([], f"{DOC} bigint, vector array<double>, target string")
+    fitted = clusters.fit_kmeans(none, none)
+    assert fitted.collect() == [] and clusters.score_kmeans(fitted, none).collect() == []
 
 
 @pytest.mark.parametrize("loss", ["perceptron", "squared_loss", "huber", "epsilon_insensitive", "squared_epsilon_insensitive"])
@@ -111,6 +152,45 @@ def test_every_loss_separates_two_classes(spark, loss):
     assert best.filter("p <> target").count() == 0
 
 
+def brute_fit(rows, targets, slope, steps=4, penalty=1e-3, rate=0.5):
+    classes, names = sorted({t for t in targets if t is not None}), sorted({t for r in rows for t in r})
+    x = np.array([[r.get(t, 0.0) for t in names] + [1.0] for r in rows])
+    y = np.array([[1.0 if t == c else -1.0 for c in classes] for t in targets])
+    w = last = np.zeros((x.shape[1], len(classes)))
+    for step in range(1, steps + 1):
+        at = w + (step - 1) / (step + 2) * (w - last)
+        w, last = at - rate * (penalty * at + x.T @ slope(x @ at, y) / len(rows)), w
+    return {(t, c): w[i, j] for i, t in enumerate([*names, linear.BIAS]) for j, c in enumerate(classes)}
+
+
+@pytest.mark.parametrize(("cells", "block", "parts"), [(1 << 16, 32, 1), (40, 2, 7), (1, 1, 3)])
+def test_linear_fit_against_brute_force(spark, monkeypatch, cells, block, parts):
+    """Chunks, class blocks and partitions change nothing; models of one fit differ in documents and loss."""
+    monkeypatch.setattr(linear, "CHUNK_CELLS", cells)
+    monkeypatch.setattr(linear, "CLASS_BLOCK", block)
+    rnd = random.Random(5)
+    rows = [{f"t{min(rnd.randrange(9), 3)}": 1.0 + rnd.random() for _ in range(rnd.randrange(5))} for _ in range(40)]  # t3 is hot, some are empty
+    targets = [rnd.choice([*"aaabcde", None]) for _ in rows]
+    slopes = {"squared_hinge": lambda m, y: np.where(y * m < 1, -2 * y * (1 - y * m), 0), "log": lambda m, y: -y / (1 + np.exp(y * m))}
+    sets = {"squared_hinge": range(0, 40), "log": range(0, 40, 3)}
+    docs = spark.createDataFrame([(f, i, targets[i]) for f, ids in sets.items() for i in ids], f"fold string, {DOC} bigint, target string")
+    terms = spark.createDataFrame(
+        [(f, i, t, v) for f, ids in sets.items() for i in ids for t, v in rows[i].items()], f"fold string, {DOC} bigint, term string, value double")
+    fitted = linear.fit(terms.repartition(parts), docs.repartition(parts), {f: f for f in sets}, steps=4).collect()
+    for f, ids in sets.items():
+        want = brute_fit([rows[i] for i in ids], [targets[i] for i in ids], slopes[f])
+        got = {(r["term"], r["target"]): r["weight"] for r in fitted if r["fold"] == f}
+        assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_linear_fit_of_nothing_and_of_an_unknown_loss(spark):
+    docs = spark.createDataFrame([], f"fold int, {DOC} bigint, target string")
+    terms = spark.createDataFrame([], f"fold int, {DOC} bigint, term string, value double")
+    assert linear.fit(terms, docs).collect() == []
+    with pytest.raises(ValueError, match="unknown loss"):
+        linear.fit(terms, docs, "cubic")
+
+
 def test_redistribution_stops_at_the_best_step(spark):
     # class b is always scored as a first: the learned shares repair it
     rows = [(i, "a", 0.6 if i < 8 else 0.1) for i in range(12)] + [(i, "b", 0.4 if i < 8 else 0.9) for i in range(12)]

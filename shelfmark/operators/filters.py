@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import items as it
 from shelfmark.operators.counts import explode_fields, items_per_field
-from shelfmark.operators.skew import BLOCK_ROWS, DOC, blocked_rank, id_block, lookup_join, sample_key
+from shelfmark.operators.skew import BLOCK_ROWS, DOC, blocked_rank, lookup_join, sample_key
 from shelfmark.session import cut
 
 
@@ -66,7 +66,7 @@ def max_per_item(df: DataFrame, quotas: dict[str, float], doc: str = DOC, block_
             limit = F.col("_quota")
         elif isinstance(quota, float):
             limit = F.ceil(F.lit(quota))
-        ranked = blocked_rank(rows, ["item"], [doc, "pos"], id_block(doc, block_rows), per_key=per_key)
+        ranked = blocked_rank(rows, ["item"], [doc, "pos"], block_rows, per_key=per_key)
         work = _regroup(work, ranked.filter(F.col("rank") <= limit), [f], doc)
     return _back(df, work, fields, doc)
 

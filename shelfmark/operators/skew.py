@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from shelfmark.session import cut
 
 DOC = "doc_idx"
 BLOCK_ROWS = 1 << 18
+MAX_CUTS = 4096
 
 
 def sample_key(*columns: str, seed: int = 0) -> Column:
@@ -22,6 +24,23 @@ def id_block(doc: str = DOC, rows: int = BLOCK_ROWS) -> Column:
     return F.expr(f"`{doc}` div {int(rows)}")
 
 
+def with_id_block(df: DataFrame, doc: str = DOC, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` and ``_block``, which never decreases along the numeric id ``doc``: about ``rows`` rows per block.
+
+    Ids without large gaps are divided (one aggregate tells). Others are cut at their quantiles, which a sketch estimates
+    and a binary search looks up; at most ``MAX_CUTS`` numbers come to the driver, blocks grow beyond that.
+    """
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.min(doc).alias("low"), F.max(doc).alias("high")).first()
+    wanted = seen["n"] // rows + 1
+    if seen["low"] is None or int(seen["high"]) // rows - int(seen["low"]) // rows <= 2 * wanted:
+        return df.withColumn("_block", id_block(doc, rows))
+    n = min(wanted, MAX_CUTS)
+    at = df.select(F.col(doc).cast("double").alias("_at")).stat.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    cuts = sorted(set(at))
+    blocks = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=doc, outputCol="_block")
+    return blocks.transform(df) if cuts else df.withColumn("_block", F.lit(0.0))
+
+
 def key_block(key: str, bits: int = 12) -> Column:
     """Order-preserving block of a :func:`sample_key`: its highest bits."""
     return F.shiftright(F.col(key), 60 - bits)
@@ -31,19 +50,20 @@ def blocked_rank(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
+    block: Column | int,
     name: str = "rank",
     total: str | None = None,
     per_key: DataFrame | None = None,
 ) -> DataFrame:
     """1-based rank of every row within ``keys`` by ``order``.
 
-    ``block`` must not decrease along ``order``. A hot key is spread over its blocks: the rank is the number of rows
+    ``block`` must not decrease along ``order``; a number stands for blocks of about that many rows by the id ``order[0]``,
+    however the ids are spread. A hot key is spread over its blocks: the rank is the number of rows
     in earlier blocks plus the rank inside the block, so one task never holds more than one block of one key. Only
     the block counts (pre-aggregated, one row per key and block) are summed along the key. ``per_key`` adds columns
     that depend on the key alone; they ride on the counts instead of on the rows.
     """
-    df = df.withColumn("_block", block)
+    df = with_id_block(df, order[0], block) if isinstance(block, int) else df.withColumn("_block", block)
     counts = df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     along = Window.partitionBy(*(keys or [F.lit(0)]))
     counts = counts.withColumn("_before", F.sum("_n").over(along.orderBy("_block")) - F.col("_n"))

@@ -57,6 +57,16 @@ def test_blocked_rank_with_one_hot_key(spark):
     assert by_key == {"hot": list(range(1, 2001)), "cold": list(range(1, 1001))}
 
 
+@pytest.mark.parametrize("factor", [1, 1 << 40, -(1 << 40)])
+def test_blocked_rank_of_sparse_ids(spark, factor):
+    df = spark.range(3000).select((F.col("id") * factor).alias(DOC), F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("target"))
+    sizes = [r["count"] for r in skew.with_id_block(df, DOC, 100).groupBy("_block").count().collect()]
+    assert len(sizes) <= 32 and max(sizes) <= 200
+    got = skew.blocked_rank(df, ["target"], [DOC], 100).collect()
+    for key, n in (("hot", 2000), ("cold", 1000)):
+        assert [r["rank"] for r in sorted(got, key=lambda r: r[DOC]) if r["target"] == key] == list(range(1, n + 1))
+
+
 def test_dense_index_is_independent_of_partitions(spark):
     rows = [(f"w{i:04d}",) for i in random.Random(1).sample(range(5000), 800)]
     for n in (1, 4, 16):

@@ -9,6 +9,7 @@ from shelfmark.checks.metrics import r9
 from shelfmark.checks.registry import query
 from shelfmark.functions import text as tx
 from shelfmark.operators import features as ft
+from shelfmark.operators.embeddings import document_embeddings, pack, project
 from shelfmark.operators.skew import DOC
 
 DOCS, ITEMS = fx.DOCS_SQL, fx.RECORD_ITEMS_SQL
@@ -64,8 +65,15 @@ def h03(spark, sf):
 
 @query("h04_document_embeddings")
 def h04(spark, sf):
-    df = fx.docs(spark, sf).select(DOC, tx.words("fulltext").alias("words"))
-    return ft.document_embeddings(df, "words", seed=1)
+    return document_embeddings(text_tfidf(spark, sf), fx.docs(spark, sf), seed=1)
+
+
+@query("h04_projection", TERMS + IDF + """, j as (select unnest(range(0, 96)) as pos)
+select doc_idx, pos, round(sum(value*case when substr(md5('1:'||(pos//32)||':'||term), pos%32+1, 1) >= '8' then -1 else 1 end), 9) as value from tfidf, j group by doc_idx, pos""")
+def h04_projection(spark, sf):
+    """The signed projection that embeddings start from."""
+    rows = project(pack(text_tfidf(spark, sf)), 96, seed=1)
+    return r9(rows.select(DOC, F.posexplode("vector").alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint")))
 
 
 NAMES = f""", names as (select distinct hier as target from fx_docs), nw as (select distinct target, upper(unnest({fx.tokens_sql('target')})) as term from names),

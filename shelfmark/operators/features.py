@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,22 +130,6 @@ def dense_hash_vectors(analysed: DataFrame, buckets: int, bucket=term_bucket, do
     return analysed.select(doc, vector.alias("vector"))
 
 
-def document_embeddings(
-    df: DataFrame, words: str, size: int = 500, step: float = 0.025, window: int = 8, min_count: int = 5,
-    iterations: int = 10, seed: int = 0, partitions: int | None = None, doc: str = DOC,
-) -> DataFrame:
-    """``doc, vector``: the mean of the document's word vectors, learned on the same documents.
-
-    Training runs in ``partitions`` tasks (the session's shuffle partitions if not given).
-    """
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = Word2Vec(
-        inputCol=words, outputCol="_v", vectorSize=size, stepSize=step, windowSize=window, minCount=min_count,
-        maxIter=iterations, seed=seed, numPartitions=partitions,
-    ).fit(df)
-    return model.transform(df).select(doc, vector_to_array("_v").alias("vector"))
-
-
 def target_words(targets: DataFrame, target: str = "target") -> DataFrame:
     """``target, term``: the distinct upper-case words of each target's name."""
     words = F.array_distinct(F.transform(tx.separate_signs("target"), F.upper))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import clusters, ensemble, filters, linear, nbest, neighbours, sampling, skew, sparse_neighbours, splits
+from shelfmark.operators import clusters, embeddings, ensemble, filters, linear, nbest, neighbours, sampling, skew, sparse_neighbours, splits
 from shelfmark.operators.skew import DOC, lookup_join
 from shelfmark.plans import commands
 from shelfmark.plans.commands import Classifier
@@ -201,6 +201,31 @@ def test_linear_fit_of_nothing_and_of_an_unknown_loss(spark):
         linear.fit(terms, docs, "cubic")
 
 
+@pytest.mark.parametrize("cells", [1 << 14, 9])
+def test_embeddings_against_dense_decomposition(spark, monkeypatch, cells):
+    monkeypatch.setattr(embeddings, "CHUNK_CELLS", cells)
+    rng = np.random.default_rng(11)
+    x = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4) + np.outer(np.arange(30) % 3 == 0, np.arange(12) < 4)
+    x[[4, 17]] = 0.0  # documents without terms
+    x[9] = x[8]
+    docs = spark.createDataFrame([(i,) for i in range(30)], f"{DOC} bigint")
+    terms = spark.createDataFrame([(i, f"t{j}", float(v)) for (i, j), v in np.ndenumerate(x) if v], f"{DOC} bigint, term string, value double")
+    at = lambda size: np.array([r["vector"] for r in sorted(embeddings.document_embeddings(terms, docs, size).collect(), key=lambda r: r[DOC])])
+    full, few = at(20), at(4)
+    assert np.allclose(full @ full.T, x @ x.T, atol=1e-8)  # no more directions than columns: nothing is lost
+    gram = few.T @ few
+    assert np.allclose(gram, np.diag(np.diag(gram)), atol=1e-8) and not few[[4, 17]].any() and np.allclose(few[8], few[9])
+    values = np.linalg.svd(x, compute_uv=False)
+    assert np.all(np.diff(np.diag(gram)) <= 1e-9) and np.diag(gram).sum() > 0.97 * (values[:4] ** 2).sum()
+
+
+def test_embeddings_of_nothing(spark):
+    terms = spark.createDataFrame([], f"{DOC} bigint, term string, value double")
+    docs = spark.createDataFrame([(7,)], f"{DOC} bigint")
+    assert embeddings.document_embeddings(terms, docs, 3).collect()[0]["vector"] == [0.0, 0.0, 0.0]
+    assert embeddings.document_embeddings(terms, docs.limit(0), 3).collect() == []
+
+
 def test_redistribution_stops_at_the_best_step(spark):
     # class b is always scored as a first: the learned shares repair it
     rows = [(i, "a", 0.6 if i < 8 else 0.1) for i in range(12)] + [(i, "b", 0.4 if i < 8 else 0.9) for i in range(12)]

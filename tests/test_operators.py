@@ -322,7 +322,7 @@ def test_neighbours_of_near_copies_with_large_norms(spark):
 
 
 def test_settings_without_effect_are_errors():
-    for spec in (Classifier("t", "kmeans"), Classifier("t", "neighbours"), Classifier("t", "naive_bayes", "hash")):
+    for spec in (Classifier("t", "kmeans"), Classifier("t", "neighbours", "tfidf"), Classifier("t", "naive_bayes", "hash")):
         with pytest.raises(ValueError):
             commands.check_specs([spec])
     for options in ({"mode": "x"}, {"balance": [("over", 1.0)]}):

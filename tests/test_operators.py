@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -193,6 +194,53 @@ def test_linear_fit_against_brute_force(spark, monkeypatch, cells, block, parts)
         assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
 
 
+def brute_epochs(rows, ids, targets, slope, chunks, batches, epochs, penalty=1e-3, rate=0.5):
+    """Local walks over mini-batches of every chunk, averaged by documents, on dense matrices."""
+    classes, names = sorted({t for t in targets if t is not None}), sorted({t for r in rows for t in r})
+    x = np.array([[r.get(t, 0.0) for t in names] + [1.0] for r in rows])
+    y = np.array([[1.0 if t == c else -1.0 for c in classes] for t in targets])
+    digits = [hashlib.md5(str(i).encode()).hexdigest() for i in ids]
+    chunk, turn = np.array([int(d[:7], 16) % chunks for d in digits]), np.array([int(d[7:14], 16) % batches for d in digits])
+    w = np.zeros((x.shape[1], len(classes)))
+    for epoch in range(1, epochs + 1):
+        now, mean = rate / epoch**0.5, np.zeros_like(w)
+        for c in set(chunk):
+            at = w.copy()
+            for b in range(batches):
+                of = (chunk == c) & (turn == b)
+                pull = x[of].T @ slope(x[of] @ at, y[of]) / max(1, of.sum())
+                at = at * (1 - now * penalty) - now * pull
+            mean += at * (chunk == c).mean()
+        w = mean
+    return {(t, c): w[i, j] for i, t in enumerate([*names, linear.BIAS]) for j, c in enumerate(classes)}
+
+
+@pytest.mark.parametrize(("cells", "block", "parts"), [(1 << 16, 32, 1), (30, 2, 7), (30, 2, 2)])
+def test_minibatches_against_brute_force(spark, monkeypatch, cells, block, parts):
+    """Several chunks, some without a document in a batch; partitions and class blocks change nothing."""
+    monkeypatch.setattr(linear, "CHUNK_CELLS", cells)
+    monkeypatch.setattr(linear, "CLASS_BLOCK", block)
+    rnd = random.Random(6)
+    rows = [{f"t{min(rnd.randrange(9), 3)}": 1.0 + rnd.random() for _ in range(rnd.randrange(5))} for _ in range(40)]
+    targets = [rnd.choice([*"aaabcde", None]) for _ in rows]
+    docs = spark.createDataFrame([(0, i, t) for i, t in enumerate(targets)], f"fold int, {DOC} bigint, target string")
+    terms = spark.createDataFrame([(0, i, t, v) for i, r in enumerate(rows) for t, v in r.items()], f"fold int, {DOC} bigint, term string, value double")
+    chunks = -(-(len(rows) + sum(map(len, rows))) // cells)
+    fitted = linear.fit_stochastic(terms.repartition(parts), docs.repartition(parts), "log", epochs=3, batches=4).collect()
+    want = brute_epochs(rows, range(40), targets, lambda m, y: -y / (1 + np.exp(y * m)), chunks, 4, 3)
+    assert {(r["term"], r["target"]): r["weight"] for r in fitted} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_minibatches_of_nothing_and_where_they_do_not_apply(spark):
+    docs = spark.createDataFrame([], f"fold int, {DOC} bigint, target string")
+    terms = spark.createDataFrame([], f"fold int, {DOC} bigint, term string, value double")
+    assert linear.fit_stochastic(terms, docs).collect() == []
+    for spec in (Classifier("fulltext", "naive_bayes", epochs=2), Classifier("fulltext", "log", epochs=0)):
+        with pytest.raises(ValueError, match="epochs"):
+            commands.check_specs([spec])
+    commands.check_specs([Classifier("fulltext", "log", epochs=2)])
+
+
 def test_linear_fit_of_nothing_and_of_an_unknown_loss(spark):
     docs = spark.createDataFrame([], f"fold int, {DOC} bigint, target string")
     terms = spark.createDataFrame([], f"fold int, {DOC} bigint, term string, value double")
@@ -251,7 +299,8 @@ def small_corpus(spark):
     [Classifier("fulltext", weight="auto")],
     [Classifier("fulltext", "linear_svm")],
     [Classifier("fulltext", weight=0.8), Classifier("fulltext", "neighbours", "hash"), Classifier("fulltext", "match_target", weight=0.1)],
-], ids=["bayes", "svm", "ensemble"])
+    [Classifier("fulltext", "log", epochs=5)],
+], ids=["bayes", "svm", "ensemble", "minibatches"])
 def test_small_corpus_end_to_end(spark, tmp_path, specs):
     df = small_corpus(spark)
     kinds = {"fulltext": ("fulltext", "text_ngrams", 1)}

@@ -8,7 +8,7 @@ from shelfmark.checks import features as fc
 from shelfmark.checks import fixtures as fx
 from shelfmark.checks.metrics import r9
 from shelfmark.checks.registry import query
-from shelfmark.operators import bayes, clusters, ensemble, neighbours
+from shelfmark.operators import bayes, clusters, ensemble, neighbours, ridge
 from shelfmark.operators import features as ft
 from shelfmark.operators.evaluate import classified
 from shelfmark.operators.match import match_confidences
@@ -73,6 +73,32 @@ def embeddings(spark, sf):
     return e.select(F.col("vec_id").alias(DOC), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("target"))
 
 
+def inverse_sql(size: int) -> str:
+    """``inv`` (i, j, x): inverse of the matrix ``a`` (i, j, x) of this size by elimination, a column at a time."""
+    parts = [f""", s0 as materialized (select i, j, x from a union all select i, j, case when i=j-{size} then 1.0::double else 0.0::double end from range({size}) r(i), range({size}, {2 * size}) c(j))"""]
+    for k in range(size):
+        parts.append(f""", s{k + 1} as materialized (select s.i, s.j, case when s.i={k} then p.x/d.x else s.x - f.x*p.x/d.x end as x from s{k} s join s{k} p on p.i={k} and p.j=s.j join s{k} f on f.i=s.i and f.j={k}, (select x from s{k} where i={k} and j={k}) d)""")
+    return "".join(parts) + f", inv as materialized (select i, j-{size} as j, x from s{size} where j>={size})"
+
+
+VECTOR = 64  # values of an embedding
+
+
+@query("e10_leave_one_out_ridge", f"""with e as materialized (select vec_id as doc_idx, list_append(embedding::double[], 1.0::double) as v, 'c'||label as target from embeddings),
+x as materialized (select doc_idx, target, unnest(v) as x, generate_subscripts(v,1)-1 as i from e),
+a as materialized (select p.i, q.i as j, sum(p.x*q.x) + case when p.i=q.i then 1.0 else 0.0 end as x from x p join x q using (doc_idx) group by p.i, q.i)
+{inverse_sql(VECTOR + 1)}, c as (select distinct target from e where target is not null),
+b as (select c.target, i, sum(x*case when x.target=c.target then 1.0 else -1.0 end) as x from x, c group by all),
+w as materialized (select target, inv.i, sum(inv.x*b.x) as x from inv join b on b.i=inv.j group by all),
+g as materialized (select doc_idx, inv.i, sum(x.x*inv.x) as x from x join inv on inv.j=x.i group by all),
+h as (select doc_idx, sum(x.x*g.x) as h from x join g using (doc_idx, i) group by doc_idx),
+m as (select doc_idx, x.target as own, w.target, sum(x.x*w.x) as m from x join w using (i) group by all)
+select doc_idx, target, round((m - h*case when own=target then 1.0 else -1.0 end)/(1-h), 6) as margin from m join h using (doc_idx)""")
+def e10_ridge(spark, sf):
+    """Every embedding scored for every class by the ridge regression of all others, in closed form."""
+    return ridge.leave_one_out(embeddings(spark, sf)).withColumn("margin", F.round("margin", 6))
+
+
 KNN = """with e as (select vec_id as doc_idx, embedding::double[] as v, 'c'||label as target from embeddings),
 p as (select a.doc_idx, b.doc_idx as neighbour, b.target, list_distance(a.v, b.v) as distance from e a join e b on {on}),
 n as (select *, row_number() over (partition by doc_idx order by distance, neighbour) as rank from p), k as (select * from n where rank<=5)"""

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import clusters, embeddings, ensemble, filters, linear, nbest, neighbours, sampling, skew, sparse_neighbours, splits
+from shelfmark.operators import clusters, embeddings, ensemble, filters, linear, nbest, neighbours, ridge, sampling, skew, sparse_neighbours, splits
 from shelfmark.operators.skew import DOC, lookup_join
 from shelfmark.plans import commands
 from shelfmark.plans.commands import Classifier
@@ -249,6 +249,35 @@ def test_linear_fit_of_nothing_and_of_an_unknown_loss(spark):
         linear.fit(terms, docs, "cubic")
 
 
+@pytest.mark.parametrize(("rows", "block"), [(4096, 64), (7, 2)])
+def test_ridge_without_one_equals_training_again(spark, monkeypatch, rows, block):
+    """200 documents, some without a target, one class of a single document, repeated vectors."""
+    monkeypatch.setattr(ridge, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(ridge, "CLASS_BLOCK", block)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6))
+    x[50:60] = x[50]
+    targets = [[*"aaabcd", None][k] for k in rng.integers(0, 7, 199)] + ["single"]
+    docs = spark.createDataFrame([(i, v.tolist(), t) for i, (v, t) in enumerate(zip(x, targets))], f"{DOC} bigint, vector array<double>, target string")
+    got = {(r[DOC], r["target"]): r["margin"] for r in ridge.leave_one_out(docs, penalty=0.5).collect()}
+    wide, classes = np.c_[x, np.ones(200)], sorted({t for t in targets if t})
+    assert len(got) == 200 * len(classes)
+    for i in range(200):
+        rest = np.arange(200) != i
+        gram = wide[rest].T @ wide[rest] + 0.5 * np.eye(7)
+        for c in classes:
+            y = np.array([1.0 if t == c else -1.0 for t in targets])
+            assert got[i, c] == pytest.approx(wide[i] @ np.linalg.solve(gram, wide[rest].T @ y[rest]), abs=1e-9)
+
+
+def test_ridge_of_nothing_and_of_unfit_vectors(spark):
+    schema = f"{DOC} bigint, vector array<double>, target string"
+    assert ridge.leave_one_out(spark.createDataFrame([], schema)).collect() == []
+    for vectors, message in (([[1.0], [1.0, 2.0]], "1 to 2"), ([[0.0] * ridge.MAX_SIZE], "closed form")):
+        with pytest.raises(ValueError, match=message):
+            ridge.leave_one_out(spark.createDataFrame([(i, v, "a") for i, v in enumerate(vectors)], schema))
+
+
 @pytest.mark.parametrize("cells", [1 << 14, 9])
 def test_embeddings_against_dense_decomposition(spark, monkeypatch, cells):
     monkeypatch.setattr(embeddings, "CHUNK_CELLS", cells)

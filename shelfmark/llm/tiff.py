@@ -4,9 +4,11 @@ The reader walks the chain of image directories in either byte order, decodes un
 strips or tiles, undoes the horizontal and floating-point predictors, and gives the samples of each page row by row.
 The writer stores 8-bit samples in strips or tiles.
 
-Defined cases: a null, empty or malformed image gives one row with page 0 and an error, and pages before the fault are
-kept; unknown compressions, bit depths that are not whole bytes and truncated data are errors; a directory chain that
-comes back to itself ends; an empty table gives no rows; columns of the input named like an output column are replaced.
+Samples of 1, 2 and 4 bits become bytes.
+
+Defined cases: a null, empty or malformed image gives one row with page 0 and an error; a faulty page gives a row with an
+error and the pages before and behind it are kept; unknown compressions, other bit depths and truncated data are errors; a
+directory chain that comes back to itself ends; an empty table gives no rows; columns of the input named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import pieces
+from shelfmark.llm.common import PIECE_BYTES, pieces
 
 # Fixed numbers of the format: field types with their sizes, tags, compressions.
 TYPE_FORMAT = {1: "B", 3: "H", 4: "I", 16: "Q"}
@@ -191,12 +193,17 @@ ENCODERS = {"none": (NONE, bytes), "lzw": (LZW, lzw_encode), "deflate": (DEFLATE
 
 
 # -- reading ---------------------------------------------------------------------------------------------------------
-def _directory(data: bytes, order: str, at: int) -> tuple[dict, int]:
+def _directory(data: bytes, order: str, at: int) -> tuple[int, int]:
+    """Number of entries, and the place of the next directory."""
     if at + 2 > len(data):
         raise TiffError("directory outside the file")
     (n,) = struct.unpack_from(order + "H", data, at)
     if at + 6 + 12 * n > len(data):
         raise TiffError("truncated directory")
+    return n, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+
+
+def _entries(data: bytes, order: str, at: int, n: int) -> dict:
     tags = {}
     for i in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
@@ -209,8 +216,13 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict, int]:
         if place + size > len(data):
             raise TiffError(f"values of tag {tag} outside the file")
         tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
-    (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-    return tags, following
+    return tags
+
+
+def _unpack_bits(block: np.ndarray, bits: int, rows: int, columns: int, depth: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, the highest first, as bytes; every row starts at a byte."""
+    digits = np.unpackbits(block.reshape(rows, -1), axis=1)[:, : columns * depth * bits].reshape(rows, columns, depth, bits)
+    return (digits << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
 
 
 def _undo_predictor(block: np.ndarray, predictor: int, order: str, bits: int, rows: int, columns: int, depth: int) -> np.ndarray:
@@ -232,12 +244,14 @@ def _page(data: bytes, order: str, tags: dict) -> Page:
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
     if not width or not height or not samples:
         raise TiffError("no image size")
-    if bits not in (8, 16, 32, 64) or set(tags.get(BITS, (bits,))) != {bits}:
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or set(tags.get(BITS, (bits,))) != {bits}:
         raise TiffError(f"unsupported bits per sample {tags.get(BITS)}")
     if compression not in DECODERS:
         raise TiffError(f"unsupported compression {compression}")
     if predictor not in (1, 2, 3):
         raise TiffError(f"unsupported predictor {predictor}")
+    if bits < 8 and predictor != 1:
+        raise TiffError(f"predictor {predictor} of samples of {bits} bits")
     separate = one(PLANAR, 1) == 2 and samples > 1
     depth, planes = (1, samples) if separate else (samples, 1)
     if TILES in tags:
@@ -253,28 +267,37 @@ def _page(data: bytes, order: str, tags: dict) -> Page:
         counts = (len(data) - offsets[0],)
     if counts is None or len(offsets) != len(counts) or len(offsets) < columns * rows * planes:
         raise TiffError("missing strips or tiles")
-    size = bits // 8
-    if width * height * samples * size > 1032 * len(data) * 8:  # no compression here packs more tightly
+    size = max(1, bits // 8)
+    if width * height * samples * bits > 1032 * len(data) * 64:  # no compression here packs more tightly
         raise TiffError("image size does not fit the data")
     image = np.zeros((height, width, samples), f"<u{size}")
     for i in range(columns * rows * planes):
         plane, place = divmod(i, columns * rows)
         top, left = place // columns * down, place % columns * across
         tall = down if TILES in tags else min(down, height - top)
-        wanted = tall * across * depth * size
+        wanted = tall * -(-across * depth * bits // 8)  # a row ends with a whole byte
         if offsets[i] + counts[i] > len(data):
             raise TiffError("strip or tile outside the file")
         raw = DECODERS[compression](data[offsets[i] : offsets[i] + counts[i]], wanted)
         if len(raw) < wanted:
             raise TiffError("truncated strip or tile")
-        block = _undo_predictor(np.frombuffer(raw, np.uint8), predictor, order, bits, tall, across, depth)
+        block = np.frombuffer(raw, np.uint8)
+        block = _unpack_bits(block, bits, tall, across, depth) if bits < 8 else _undo_predictor(block, predictor, order, bits, tall, across, depth)
         part = block[: height - top, : width - left]
         image[top : top + part.shape[0], left : left + part.shape[1], plane if separate else slice(None)] = part[:, :, 0] if separate else part
     return Page(width, height, samples, bits, NAMES[compression], predictor, image.tobytes())
 
 
+FAULTS = (TiffError, struct.error, ValueError, MemoryError, OverflowError)
+
+
+def _fault(error: Exception) -> TiffError:
+    return TiffError(str(error) or type(error).__name__)
+
+
 def read_pages(data: bytes | None) -> Iterator[Page | TiffError]:
-    """The pages of an image; a fault is the last element."""
+    """The pages of an image. A faulty page is an error in its place and the walk goes on with the next directory; where
+    the chain of directories itself breaks, the error is the last element."""
     try:
         if not data or len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
             raise TiffError("not a TIFF image" if data else "no data")
@@ -285,11 +308,15 @@ def read_pages(data: bytes | None) -> Iterator[Page | TiffError]:
             raise TiffError("no directory")
         while at and at not in seen:
             seen.add(at)
-            tags, following = _directory(data, order, at)
-            yield _page(data, order, tags)
+            n, following = _directory(data, order, at)
+            try:
+                page = _page(data, order, _entries(data, order, at, n))
+            except FAULTS as error:
+                page = _fault(error)
+            yield page
             at = following
-    except (TiffError, struct.error, ValueError, MemoryError, OverflowError) as error:
-        yield TiffError(str(error) or type(error).__name__)
+    except FAULTS as error:
+        yield _fault(error)
 
 
 # -- writing ---------------------------------------------------------------------------------------------------------
@@ -348,8 +375,8 @@ FIELDS += [("compression", T.StringType()), ("predictor", T.IntegerType()), ("fe
 
 def feature(page: Page) -> str:
     """Size, mean, deviation and a 16-bin histogram of the samples."""
-    values = np.frombuffer(page.pixels, f"<u{page.bits // 8}")
-    bins = np.bincount((values >> np.array(page.bits - 4, values.dtype)).astype(np.int64), minlength=16)
+    values = np.frombuffer(page.pixels, f"<u{max(1, page.bits // 8)}")
+    bins = np.bincount((values >> np.array(max(0, page.bits - 4), values.dtype)).astype(np.int64), minlength=16)
     shape = f"{page.width}x{page.height}x{page.samples}"
     return f"{shape};{values.mean(dtype=np.float64):.4f};{values.std(dtype=np.float64):.4f};{'.'.join(map(str, bins.tolist()))}"
 
@@ -361,19 +388,29 @@ def explode_pages(df: DataFrame, media: str = "media") -> DataFrame:
     schema = T.StructType([*df.select(*kept).schema.fields, *[T.StructField(n, t) for n, t in FIELDS]])
     new = pa.schema([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("feature", pa.string()), ("pixels", pa.binary()), ("error", pa.string())])
 
+    def rows_of(piece):
+        """Runs of pages of one slice, bounded by their decoded bytes; a long page is a run of its own."""
+        of, rows, held = [], [], 0
+        for i, data in enumerate(piece.column(media).to_pylist()):
+            for number, page in enumerate(read_pages(data)):
+                of.append(i)
+                if isinstance(page, TiffError):
+                    rows.append((number, *[None] * 8, str(page)))
+                else:
+                    rows.append((number, page.width, page.height, page.samples, page.bits, page.compression, page.predictor, feature(page), page.pixels, None))
+                    held += len(page.pixels)
+                if held > PIECE_BYTES:
+                    yield of, rows
+                    of, rows, held = [], [], 0
+        if rows:
+            yield of, rows
+
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, media):
-                of, rows = [], []
-                for i, data in enumerate(piece.column(media).to_pylist()):
-                    for number, page in enumerate(read_pages(data)):
-                        of.append(i)
-                        if isinstance(page, TiffError):
-                            rows.append((number, *[None] * 8, str(page)))
-                        else:
-                            rows.append((number, page.width, page.height, page.samples, page.bits, page.compression, page.predictor, feature(page), page.pixels, None))
-                left = piece.select(kept).take(pa.array(of, pa.int64())) if kept else None
-                columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(new)]
-                yield pa.RecordBatch.from_arrays([*(left.columns if left else []), *columns], names=[*kept, *names])
+                for of, rows in rows_of(piece):
+                    left = piece.select(kept).take(pa.array(of, pa.int64())) if kept else None
+                    columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(new)]
+                    yield pa.RecordBatch.from_arrays([*(left.columns if left else []), *columns], names=[*kept, *names])
 
     return df.select(*kept, media).mapInArrow(run, schema)

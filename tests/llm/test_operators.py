@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -157,6 +158,41 @@ def test_tiff_big_endian_and_faults(spark):
         list(tiff.read_pages(bytes(bad)))
 
 
+def test_tiff_faulty_page_between_good_ones(spark):
+    pages = [np.full((4, 4), k, np.uint8) for k in range(3)]
+    data = bytearray(tiff.write_image(pages, "none"))
+    (second,) = struct.unpack_from("<I", data, struct.unpack_from("<I", data, 4)[0] + 2 + 12 * struct.unpack_from("<H", data, struct.unpack_from("<I", data, 4)[0])[0])
+    (n,) = struct.unpack_from("<H", data, second)
+    for i in range(n):  # an unknown compression in the second directory
+        if struct.unpack_from("<H", data, second + 2 + 12 * i)[0] == 259:
+            struct.pack_into("<H", data, second + 10 + 12 * i, 9999)
+    got = tiff.explode_pages(spark.createDataFrame([(1, bytes(data))], "id int, media binary")).orderBy("page").collect()
+    assert [(r["page"], r["pixels"]) for r in got] == [(0, bytes(16)), (1, None), (2, b"\2" * 16)] and "9999" in got[1]["error"]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_tiff_samples_below_a_byte(bits):
+    rng = np.random.default_rng(bits)
+    image = rng.integers(0, 1 << bits, (5, 7)).astype(np.uint8)
+    digits = (image[:, :, None] >> np.arange(bits - 1, -1, -1)) & 1
+    packed = tiff.pack_bits(np.packbits(digits.reshape(5, -1).astype(np.uint8), axis=1).tobytes())
+    entries = [(256, 7), (257, 5), (258, bits), (259, 32773), (273, 8), (277, 1), (278, 5), (279, len(packed))]
+    data = bytearray(b"II*\0\0\0\0\0" + packed)
+    struct.pack_into("<I", data, 4, len(data))
+    data += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", tag, 4, 1, v) for tag, v in entries) + bytes(4)
+    page = next(tiff.read_pages(bytes(data)))
+    assert page.pixels == image.tobytes() and page.bits == bits and tiff.feature(page).startswith("7x5x1;")
+
+
+def test_tiff_long_pages_come_one_by_one(spark):
+    """Pages that decode to far more than they are stored in are given out in runs of bounded size."""
+    data = tiff.write_image([np.full((1024, 2048), k, np.uint8) for k in range(4)])
+    assert len(data) < 1 << 16
+    df = tiff.explode_pages(spark.createDataFrame([(1, data), (2, data)], "id int, media binary"))
+    rows = df.selectExpr("id", "page", "length(pixels) as n", "sha2(pixels, 256) as h").collect()
+    assert sorted((r.id, r.page, r.n) for r in rows) == [(i, p, 1 << 21) for i in (1, 2) for p in range(4)] and len({r.h for r in rows}) == 4
+
+
 def test_tiff_query_reads_back_the_payload(spark, corpus, tmp_path):
     from shelfmark.llm.queries import QUERIES
 

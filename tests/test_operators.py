@@ -501,3 +501,25 @@ def test_sparse_neighbours_against_brute_force(spark):
         square = lambda w: sum((v.get(t, 0.0) - w.get(t, 0.0)) ** 2 for t in {*v, *w})
         want = sorted((round(square(w), 12), j) for j, (f, w) in vectors.items() if f != fold)[:4]
         assert sorted(got[i]) == [(n + 1, j, round(d**0.5, 9)) for n, (d, j) in enumerate(want)]
+
+
+@pytest.mark.parametrize("fit", [linear.fit, linear.fit_stochastic])
+def test_folds_share_their_documents(spark, monkeypatch, fit):
+    """Terms are given and packed once for all folds, not once per fold; weights and margins are those of terms per fold."""
+    monkeypatch.setattr(linear, "CHUNK_CELLS", 30)
+    rnd = random.Random(8)
+    rows = [{f"t{rnd.randrange(5)}": 1.0 + rnd.random() for _ in range(rnd.randrange(4))} for _ in range(24)]
+    docs = spark.createDataFrame([(f, i, "abc"[i % 3]) for f in range(4) for i in range(24)], f"fold int, {DOC} bigint, target string")
+    terms = spark.createDataFrame([(i, t, v) for i, r in enumerate(rows) for t, v in r.items()], f"{DOC} bigint, term string, value double")
+    losses = dict(enumerate(("log", "hinge", "huber", "perceptron")))
+    per_fold = terms.join(docs.select("fold", DOC), DOC)
+    key = lambda r: (r["fold"], r["term"], r["target"])
+    once, each = (fit(t, docs, losses, 1e-3, 2) for t in (terms, per_fold))
+    got, want = ({key(r): r["weight"] for r in df.collect()} for df in (once, each))
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()} and len(got) == 4 * 3 * (len({t for r in rows for t in r}) + 1)
+    packed = linear._packed(terms, docs.withColumn("own", F.lit(-1)), 3, DOC, minibatches=fit is linear.fit_stochastic)
+    assert packed.chunks.agg(F.sum(F.size("docs"))).first()[0] == 24
+    key = lambda r: (r["fold"], r[DOC], r["target"])
+    got = {key(r): r["margin"] for r in linear.packed_margins(once, terms, docs).collect()}
+    want = {key(r): r["margin"] for r in linear.margins(once, linear.with_bias(per_fold, docs)).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()} and len(got) == 4 * 24 * 3

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import text as tx
-from shelfmark.operators.skew import DOC, exploded, lookup_join
+from shelfmark.operators.packed import chunked, flat, lists_of, look_up, places_in
+from shelfmark.operators.skew import DOC
 
 
 def first_analyses(lexicon: DataFrame, rank: str | None = None) -> DataFrame:
@@ -16,52 +21,92 @@ def first_analyses(lexicon: DataFrame, rank: str | None = None) -> DataFrame:
     return lexicon.groupBy("form").agg(chosen.alias("_best")).select("form", "_best.lemma", "_best.tag")
 
 
-def _positions(df: DataFrame, tokens: str, doc: str) -> DataFrame:
-    """``doc, form, _at``: one row per document and form, however often it occurs."""
-    rows = exploded(df, [doc], tokens, "pos", "form", kind="posexplode")
-    return rows.groupBy(doc, "form").agg(F.collect_list("pos").alias("_at"))
+def _looked_up(df: DataFrame, tokens: str, table: DataFrame, build, schema: T.StructType) -> DataFrame:
+    """``build(documents, owners, places, forms, rows)`` per chunk, a cell for every token and row of ``table`` for it.
+
+    ``rows`` is the table's part for the chunk, taken per cell; a form without a row has one cell of nulls.
+    """
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        owner, forms = flat(docs.column(tokens))
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        coded = known.column("form").combine_chunks().dictionary_encode()
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        many = np.append(np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)), 1)
+        found = places_in(forms, coded.dictionary)
+        cell = np.repeat(np.arange(len(owner)), many[found])
+        nth = np.arange(len(cell)) - np.searchsorted(cell, cell)
+        known_cell = found[cell] >= 0
+        first = np.append((np.cumsum(many) - many)[:-1], 0)
+        at = np.append(order, 0)[np.where(known_cell, first[found[cell]] + nth, len(order))]
+        rows = known.take(pa.array(at, mask=~known_cell))
+        return build(docs, owner[cell], place[cell], forms.take(pa.array(cell)), rows)
+
+    others = [c for c in df.columns if c != tokens]
+    return look_up(chunked(df, tokens, others), tokens, table, run, schema, term="form")
+
+
+def _lemmas(forms: pa.Array, rows: pa.Table) -> pa.ChunkedArray:
+    return pc.coalesce(rows.column("lemma"), forms)
+
+
+def _tags(rows: pa.Table) -> pa.ChunkedArray:
+    return pc.fill_null(rows.column("tag"), "X")
+
+
+def _one(values) -> pa.Array:
+    return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
 
 
 def analyse(df: DataFrame, tokens: str, lexicon: DataFrame, doc: str = DOC) -> DataFrame:
     """``doc, pos, form, lemma, tag`` per token; an unknown form is its own lemma with tag X.
 
-    The positions of a form are gathered per document first; forms that are hot even then are spread by the join.
+    The lexicon is asked once per chunk of documents and form.
     """
-    known = lookup_join(_positions(df, tokens, doc), lexicon.select("form", "lemma", "tag"), ["form"], "left")
-    return known.select(
-        doc,
-        F.explode("_at").alias("pos"),
-        "form",
-        F.coalesce("lemma", "form").alias("lemma"),
-        F.coalesce("tag", F.lit("X")).alias("tag"),
-    )
+    schema = T.StructType([df.schema[doc], T.StructField("pos", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("form", "lemma", "tag")]])
+
+    def build(docs, owner, place, forms, rows):
+        own = docs.column(doc).take(pa.array(owner))
+        return pa.table([own, pa.array(place, pa.int32()), forms, _lemmas(forms, rows), _tags(rows)], names=schema.names)
+
+    return _looked_up(df.select(doc, tokens), tokens, lexicon.select("form", "lemma", "tag"), build, schema)
 
 
-def _regroup(df: DataFrame, rows: DataFrame, column: str, tokens: str, doc: str) -> DataFrame:
-    lists = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", column))).alias("_list"))
-    joined = df.drop(tokens).join(lists, doc, "left")
-    empty = F.array().cast("array<string>")
-    return joined.withColumn(tokens, F.coalesce(F.col(f"_list.{column}"), empty)).drop("_list")
+def _replaced(df: DataFrame, tokens: str, table: DataFrame, choose) -> DataFrame:
+    """``df`` with the tokens that ``choose(forms, rows)`` gives with the mask of those to keep."""
+    columns = [*[c for c in df.columns if c != tokens], tokens]
+
+    def build(docs, owner, place, forms, rows):
+        values, kept = choose(forms, rows)
+        kept = np.flatnonzero(kept)
+        lists = lists_of(owner[kept], _one(values).take(pa.array(kept)), docs.num_rows)
+        return pa.table([lists if c == tokens else docs.column(c) for c in columns], names=columns)
+
+    return _looked_up(df, tokens, table, build, df.select(*columns).schema)
 
 
 def lemmatise(df: DataFrame, tokens: str, lexicon: DataFrame, doc: str = DOC) -> DataFrame:
     """Replace tokens by lemmas."""
-    return _regroup(df, analyse(df, tokens, lexicon, doc), "lemma", tokens, doc)
+    return _replaced(df, tokens, lexicon.select("form", "lemma"), lambda forms, rows: (_lemmas(forms, rows), np.ones(len(forms), bool)))
 
 
 def keep_parts_of_speech(
     df: DataFrame, tokens: str, lexicon: DataFrame, only, lemmas: bool = True, doc: str = DOC
 ) -> DataFrame:
     """Keep tokens with the given parts of speech (letters or numeric codes), as lemmas or as forms."""
-    rows = analyse(df, tokens, lexicon, doc).filter(F.col("tag").isin(tx.part_of_speech(only)))
-    return _regroup(df, rows, "lemma" if lemmas else "form", tokens, doc)
+    letters = pa.array(tx.part_of_speech(only), pa.string())
+
+    def choose(forms, rows):
+        kept = pc.is_in(_one(_tags(rows)), value_set=letters).to_numpy(zero_copy_only=False)
+        return (_lemmas(forms, rows) if lemmas else forms), kept
+
+    return _replaced(df, tokens, lexicon.select("form", "lemma", "tag"), choose)
 
 
 def remove_listed(df: DataFrame, tokens: str, stop_words: DataFrame, doc: str = DOC) -> DataFrame:
     """Drop tokens found in a stop-word table of any size (column ``form``)."""
-    listed = stop_words.select("form").distinct().withColumn("_listed", F.lit(True))
-    kept = lookup_join(_positions(df, tokens, doc), listed, ["form"], "left").filter(F.col("_listed").isNull())
-    return _regroup(df, kept.select(doc, F.explode("_at").alias("pos"), "form"), "form", tokens, doc)
+    listed = stop_words.select("form").distinct().withColumn("listed", F.lit(True))
+    return _replaced(df, tokens, listed, lambda forms, rows: (forms, _one(rows.column("listed").is_null()).to_numpy(zero_copy_only=False)))
 
 
 def preprocess(

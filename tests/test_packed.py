@@ -45,3 +45,16 @@ def test_sign_matrix_is_made_of_signs():
     terms = ["a", "é", "long term"]
     assert (sign_matrix(terms, 0, 70, 3) == np.stack([signs(t, 70, 3) for t in terms])).all()
     assert (sign_matrix(terms, 32, 70, 3) == np.stack([signs(t, 70, 3)[32:] for t in terms])).all()
+
+
+def test_lexicon_lookups_keep_order_columns_and_second_analyses(spark):
+    from shelfmark.operators import lexicon as lx
+
+    df = spark.createDataFrame([(1, ["x", "y", "x"], "m"), (2, [], "n"), (3, None, "o")], f"{DOC} bigint, tokens array<string>, more string")
+    lexicon = spark.createDataFrame([("x", "X1", "N"), ("y", "Y1", None), ("y", "Y2", "V")], "form string, lemma string, tag string")
+    found = sorted(tuple(r) for r in lx.analyse(df, "tokens", lexicon).collect())
+    assert found == [(1, 0, "x", "X1", "N"), (1, 1, "y", "Y1", "X"), (1, 1, "y", "Y2", "V"), (1, 2, "x", "X1", "N")]
+    kept = lx.remove_listed(df, "tokens", lexicon.filter("form = 'x'"))
+    assert {r[DOC]: (r["tokens"], r["more"]) for r in kept.collect()} == {1: (["y"], "m"), 2: ([], "n"), 3: ([], "o")}
+    plan = kept._jdf.queryExecution().toString()
+    assert "collect_list" not in plan  # no row per document and form is made

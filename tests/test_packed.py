@@ -58,3 +58,22 @@ def test_lexicon_lookups_keep_order_columns_and_second_analyses(spark):
     assert {r[DOC]: (r["tokens"], r["more"]) for r in kept.collect()} == {1: (["y"], "m"), 2: ([], "n"), 3: ([], "o")}
     plan = kept._jdf.queryExecution().toString()
     assert "collect_list" not in plan  # no row per document and form is made
+
+
+def test_neighbours_of_many_chunks_are_exact_and_shuffled_once(spark, monkeypatch):
+    from shelfmark.operators import sparse_neighbours as sn
+
+    monkeypatch.setattr(sn, "TRAIN_ROWS", 7)
+    monkeypatch.setattr(sn, "TEST_ROWS", 5)
+    rng = np.random.default_rng(1)
+    dense = rng.integers(0, 3, (60, 6)).astype(float)
+    rows = [(i, i % 3, [(j, v) for j, v in enumerate(x) if v]) for i, x in enumerate(dense.tolist())]
+    df = spark.createDataFrame(rows, f"{DOC} bigint, fold int, vector array<struct<term: bigint, value: double>>")
+    result = sn.sparse_neighbours(df, df, 3, fold="fold")
+    got = {(r[DOC], r["rank"]): r["neighbour"] for r in result.collect()}
+    for i in range(60):
+        square = ((dense - dense[i]) ** 2).sum(1)
+        order = sorted((d, j) for j, d in enumerate(square) if j % 3 != i % 3)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in order]
+    plan = result._jdf.queryExecution().toString()
+    assert "Join Cross" in plan and "RepartitionByExpression" not in plan  # no copy of a chunk per pair

@@ -536,3 +536,24 @@ def test_terms_that_bring_their_class_are_not_joined_with_documents(spark):
     model = bayes.fit(*bayes.cross_fold_sums(brought, docs, 2))
     scores = {tuple(r)[:3]: r["confidence"] for r in bayes.score(model, brought, docs).collect()}
     assert scores == {tuple(r)[:3]: pytest.approx(r["confidence"]) for r in bayes.score(model, terms, docs).collect()} and len(scores) == 18
+
+
+def test_embeddings_move_no_row_per_term(spark, monkeypatch):
+    """Blocks of terms and groups of columns give what one block gives; terms of one document are not looked up."""
+    rng = np.random.default_rng(12)
+    x = rng.random((30, 25)) * (rng.random((30, 25)) < 0.3)
+    x[:, 20:] = 0.0
+    x[range(5), range(20, 25)] = 2.0  # terms of one document
+    x[5] = x[6] = 0.0
+    docs = spark.createDataFrame([(i,) for i in range(30)], f"{DOC} bigint")
+    terms = spark.createDataFrame([(i, f"t{j}", float(v)) for (i, j), v in np.ndenumerate(x) if v], f"{DOC} bigint, term string, value double")
+    at = lambda size: np.array([r["vector"] for r in sorted(embeddings.document_embeddings(terms, docs, size).collect(), key=lambda r: r[DOC])])
+    whole = at(6)
+    monkeypatch.setattr(embeddings, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(embeddings, "MATRIX_CELLS", 60)
+    blocks, wide = embeddings.shape(28, 140, 20, 6)
+    assert blocks > 1 and wide < 6
+    assert np.allclose(at(6), whole, atol=1e-8) and np.allclose(at(30) @ at(30).T, x @ x.T, atol=1e-8)
+    places, cells, n = embeddings._places(embeddings.pack(terms), DOC)
+    assert n == ((x > 0).sum(0) > 1).sum() and cells == (x[:, (x > 0).sum(0) > 1] > 0).sum()
+    assert places.agg(F.sum("lone")).first()[0] == pytest.approx((x[:, (x > 0).sum(0) == 1] ** 2).sum())

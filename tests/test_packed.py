@@ -77,3 +77,39 @@ def test_neighbours_of_many_chunks_are_exact_and_shuffled_once(spark, monkeypatc
         assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in order]
     plan = result._jdf.queryExecution().toString()
     assert "Join Cross" in plan and "RepartitionByExpression" not in plan  # no copy of a chunk per pair
+
+
+def test_packed_bayes_agrees_with_the_long_form(spark, monkeypatch):
+    from shelfmark.operators import bayes
+    from shelfmark.plans import commands
+
+    texts = [(i, " ".join("abcdefg"[(i * j) % 7] for j in range(1, 5 + i % 3)) if i % 5 else " " * (i % 2)) for i in range(24)]
+    df = spark.createDataFrame(texts, f"{DOC} bigint, fulltext string")
+    learn = spark.createDataFrame([(f, i, "xyz"[i % 3]) for f in (0, 1) for i in range(24) if (i + f) % 4] + [(0, 1, "y")], f"fold int, {DOC} bigint, target string")
+    asked = spark.createDataFrame([(f, i) for f in (0, 1) for i in range(0, 24, 2 + f)], f"fold int, {DOC} bigint")
+    kinds = {"k": ("fulltext", "text_ngrams", 1)}
+    terms = ft.analyse_kinds(df, kinds)
+    assert {r[0] for r in ft.usable(df, kinds["k"]).collect()} == {r[0] for r in terms.select(DOC).collect()}
+    counts = ft.count_vectors(terms).drop("kind")
+    mine, theirs = (d.join(terms.select(DOC), DOC, "left_semi") for d in (learn, asked))
+    rows = [counts.join(d.select("fold", DOC).distinct(), DOC) for d in (mine, theirs)]
+    long = bayes.score(bayes.fit(*bayes.class_sums(rows[0], mine)), rows[1], theirs)
+    flat = lambda d: {(r["fold"], r[DOC], r["target"]): round(r["confidence"], 9) for r in d.collect()}
+    want = flat(long)
+    assert len(want) > 30
+    for cells, expanded in ((1 << 19, 1 << 22), (6, 5)):
+        monkeypatch.setattr(packed, "CHUNK_CELLS", cells)
+        monkeypatch.setattr(bayes, "EXPANDED", expanded)
+        got = commands.set_scores(df, learn, learn, asked, 2, commands.Classifier("k"), kinds)
+        assert flat(got) == want
+    plan = got._jdf.queryExecution().toString()
+    assert "CoGroups" in plan and "inline(concat" not in plan  # no row per document, fold, term and class is made
+
+
+def test_sums_of_dense_and_of_sparse_keys():
+    from shelfmark.operators.bayes import _summed
+
+    keys, values = np.array([5, 2, 5, 9]), np.array([1.0, 2.0, -1.0, 4.0])
+    for many in (10, 1 << 40):
+        found, sums = _summed(keys, values, many)
+        assert found.tolist() == [2, 5, 9] and sums.tolist() == [2.0, 0.0, 4.0]

@@ -65,8 +65,8 @@ from fx_pages group by group_id, record_id), g as (select group_id, string_agg(t
 def a08(spark, sf):
     folder = scratch_path(spark, "texts")
     rows = fx.pages(spark, sf).select(F.concat_ws("_", "record_id", "page_no").alias("page"), "text")
-    rows.repartition("page").write.partitionBy("page").text(folder)
-    return files.scan_text_folder(spark, folder, r"page=([^/]*)/")
+    sinks.write_text_folder(rows, folder, "page", "text")
+    return files.scan_text_folder(spark, folder, r"~([^/]*)\.txt$")
 
 
 RELATIONS = f"""with {PAGES}, ft as (select * from fx_pages), rec as (select distinct record_id, group_id from fx_pages where record_id%9<>4)"""

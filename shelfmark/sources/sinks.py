@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +69,30 @@ def write_vertical(chunks: DataFrame, path: str):
 def write_merged(df: DataFrame, path: str):
     """Merged records with a header, in id order."""
     df.orderBy("id").write.csv(path, header=True, escape='"', emptyValue="")
+
+
+def write_text_folder(df: DataFrame, folder: str, name: str, text: str) -> int:
+    """One file per row that has a text, ``<partition>/<row>~<name>.txt``; a text ends with a line end. Returns their number.
+
+    Tasks write through the file system of the folder's URI. A repeated task writes the same files again, and a file is
+    complete when it gets its name.
+    """
+
+    def run(batches):
+        part, row = TaskContext.get().partitionId(), 0
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(f"{root}/{part}", recursive=True)
+        for batch in batches:
+            written = 0
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if "/" in n or "~" in n:
+                    raise ValueError(f"{n!r} is no file name")
+                row += 1
+                if t:
+                    with system.open_output_stream(f"{root}/{part}/.{row}") as out:
+                        out.write(f"{t}\n".encode())
+                    system.move(f"{root}/{part}/.{row}", f"{root}/{part}/{row}~{n}.txt")
+                    written += 1
+            yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
+
+    return df.select(name, text).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

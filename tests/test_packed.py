@@ -113,3 +113,18 @@ def test_sums_of_dense_and_of_sparse_keys():
     for many in (10, 1 << 40):
         found, sums = _summed(keys, values, many)
         assert found.tolist() == [2, 5, 9] and sums.tolist() == [2.0, 0.0, 4.0]
+
+
+def test_text_folder_keeps_every_page(spark):
+    """Pages of the same name stay apart, an empty one is skipped, and there is no directory per page."""
+    from urllib.parse import urlparse
+
+    from shelfmark.session import scratch_path
+    from shelfmark.sources import files, sinks
+
+    folder = scratch_path(spark, "texts")
+    df = spark.createDataFrame([("1_0", "a \n b"), ("1_0", "c"), ("1_1", ""), ("1_2", None), ("2_0", "é\n")], "page string, text string").repartition(2)
+    assert sinks.write_text_folder(df, folder, "page", "text") == 3
+    rows = sorted(map(tuple, files.scan_text_folder(spark, folder, r"~([^/]*)\.txt$").collect()))
+    assert rows == [("1_0", "a b"), ("1_0", "c"), ("2_0", "é ")]
+    assert sum(p.is_dir() for p in __import__("pathlib").Path(urlparse(folder).path).iterdir()) <= 2

@@ -128,3 +128,16 @@ def test_text_folder_keeps_every_page(spark):
     rows = sorted(map(tuple, files.scan_text_folder(spark, folder, r"~([^/]*)\.txt$").collect()))
     assert rows == [("1_0", "a b"), ("1_0", "c"), ("2_0", "é ")]
     assert sum(p.is_dir() for p in __import__("pathlib").Path(urlparse(folder).path).iterdir()) <= 2
+
+
+def test_dense_neighbours_in_blocks_are_exact_and_copies_few(spark, monkeypatch):
+    from shelfmark.operators import neighbours as nb
+
+    assert min(nb.ROWS_PER_PIVOT, nb.TEST_CHUNK) >= nb.TRAIN_CHUNK >= 1 << 14 and nb.TEST_BLOCK * nb.TRAIN_CHUNK <= 1 << 23
+    monkeypatch.setattr(nb, "TEST_BLOCK", 7)
+    x = np.random.default_rng(3).integers(0, 3, (50, 4)).astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], f"{DOC} bigint, vector array<double>")
+    got = {(r[DOC], r["rank"]): r["neighbour"] for r in nb.nearest_neighbours(df, df, 3, exclude_self=True).collect()}
+    for i in range(50):
+        order = sorted((d, j) for j, d in enumerate(((x - x[i]) ** 2).sum(1)) if j != i)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in order]

@@ -56,10 +56,9 @@ sum(value * (1 - 2*({BUCKET.format(t="'sign:'||term", n=2)}))) as signed from tf
 select doc_idx, 'unsigned' as kind, term, round(pos/sqrt(sum(pos*pos) over (partition by doc_idx)), 9) as value from b
 union all select doc_idx, 'signed', term, round(signed/sqrt(sum(signed*signed) over (partition by doc_idx)), 9) from b where signed<>0""")
 def h03(spark, sf):
-    terms = text_terms(spark, sf)
-    plain = ft.hash_vectors(terms, 1024, bucket=ft.portable_bucket).withColumn("kind", F.lit("unsigned"))
-    signed = ft.hash_vectors(terms, 1024, False, ft.portable_bucket).withColumn("kind", F.lit("signed"))
-    return r9(plain.unionByName(signed)).select(DOC, "kind", "term", "value")
+    rows = ft.hash_forms(text_terms(spark, sf), 1024, bucket=ft.portable_bucket, keys=(DOC,))
+    kind = F.when(F.col("signed"), "signed").otherwise("unsigned")
+    return r9(rows.withColumn("kind", kind)).select(DOC, "kind", "term", "value")
 
 
 @query("h04_document_embeddings")

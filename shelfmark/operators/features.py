@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ from shelfmark.operators.skew import DOC, dense_index, exploded, lookup_join
 # Fixed value: default number of hash buckets.
 HASH_BUCKETS = 65_536
 
+# Terms whose codes a task keeps from one batch to the next.
+KNOWN_TERMS = 1 << 19
+
 # Analysers by name; n is the gram size.
 ANALYSERS = {
     "whole_item": lambda c, n: c,
@@ -124,17 +131,38 @@ def count_entries(terms: str | Column) -> Column:
 def hash_vectors(
     analysed: DataFrame, buckets: int = HASH_BUCKETS, non_negative: bool = True, bucket=term_bucket, keys=(DOC, "kind")
 ) -> DataFrame:
-    """Normalised hash vectors; with ``non_negative`` off, half of the terms count negatively.
+    """Normalised hash vectors, made inside the row; with ``non_negative`` off, half of the terms count negatively."""
+    return hash_forms(analysed, buckets, (not non_negative,), bucket, keys).drop("signed")
+
 
-    The plain form needs no shuffle at all; the signed form meets once per document and bucket.
+def hash_forms(analysed: DataFrame, buckets: int = HASH_BUCKETS, forms=(False, True), bucket=term_bucket, keys=(DOC, "kind")) -> DataFrame:
+    """``keys, signed, term, value``: :func:`hash_vectors` of one or both forms in one pass and without a shuffle.
+
+    Buckets by md5 are made once per task and term while it keeps the term; others are columns, made per word.
     """
-    if non_negative:
-        return exploded(analysed, list(keys), hash_entries("terms", buckets, bucket), "term", "value", kind="inline")
-    rows = count_vectors(analysed, keys)
-    term = F.col("term")
-    sign = F.lit(1.0) - 2.0 * bucket(F.concat(F.lit("sign:"), term), 2)
-    sums = rows.groupBy(*keys, bucket(term, buckets).alias("term")).agg(F.sum(sign * F.col("value")).alias("value"))
-    return normalise(sums.filter(F.col("value") != 0), keys)
+    if bucket is portable_bucket:
+        return packed.hash_rows(analysed, keys, buckets, portable_codes(buckets), forms)
+    code = lambda t: 2 * bucket(t, buckets) + bucket(F.concat(F.lit("sign:"), t), 2)
+    coded = analysed.withColumn("terms", F.transform("terms", code))
+    return packed.hash_rows(coded, keys, buckets, lambda numbers: numbers.to_numpy(), forms)
+
+
+def portable_codes(buckets: int):
+    """Function that gives twice the :func:`portable_bucket` of every term, and one more where its sign is negative."""
+    md5, number, known = hashlib.md5, int.from_bytes, {}
+
+    def code(term: str) -> int:
+        plain = term.encode()
+        return number(md5(plain).digest()[:4]) % buckets * 2 + (md5(b"sign:" + plain).digest()[3] & 1)
+
+    def codes(terms: pa.Array) -> np.ndarray:
+        if len(known) > KNOWN_TERMS:
+            known.clear()
+        words = terms.to_pylist()
+        known.update((t, code(t)) for t in words if t not in known)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    return codes
 
 
 def dense_hash_vectors(analysed: DataFrame, buckets: int, bucket=term_bucket, doc: str = DOC) -> DataFrame:

@@ -78,6 +78,44 @@ def count_rows(analysed: DataFrame, keys, terms: str = "terms") -> DataFrame:
     return analysed.select(*keys, terms).mapInArrow(run, schema)
 
 
+def hash_rows(analysed: DataFrame, keys, buckets: int, codes: Callable[[pa.Array], np.ndarray], forms=(False,), terms: str = "terms") -> DataFrame:
+    """``keys, signed, term, value``: hash vectors of length one of every row, summed inside the row.
+
+    ``codes`` gives twice the bucket, and one more where the term counts negatively, for distinct terms. ``forms`` says whether
+    signed vectors are made, plain ones, or both in one pass.
+    """
+    keys = list(keys)
+    added = [("signed", T.BooleanType()), ("term", T.LongType()), ("value", T.DoubleType())]
+    schema = T.StructType([*_fields(analysed, keys), *[T.StructField(*x) for x in added]])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, terms):
+                owner, words = flat(part.column(terms))
+                coded = words.dictionary_encode()
+                code = codes(coded.dictionary)[coded.indices.to_numpy()]
+                cells, place = _distinct(owner * buckets + (code >> 1), part.num_rows * buckets)
+                row, bucket = np.divmod(cells, buckets)
+                for signed in forms:
+                    sums = np.bincount(place, 1 - 2.0 * (code & 1) if signed else None, len(cells)).astype(np.float64)
+                    norm = np.sqrt(np.bincount(row, sums * sums, part.num_rows))
+                    kept = np.flatnonzero(sums)
+                    own = [part.column(k).take(pa.array(row[kept])) for k in keys]
+                    values = [np.full(len(kept), signed), bucket[kept], sums[kept] / norm[row[kept]]]
+                    yield pa.RecordBatch.from_arrays([*own, *map(pa.array, values)], names=schema.names)
+
+    return analysed.select(*keys, terms).mapInArrow(run, schema)
+
+
+def _distinct(numbers: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers below ``many`` in their order, and the place of every number among them."""
+    if many > 8 * CHUNK_CELLS:
+        return np.unique(numbers, return_inverse=True)
+    seen = np.zeros(many, bool)
+    seen[numbers] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[numbers]
+
+
 def chunked(df: DataFrame, column: str, keys, count: bool = False) -> DataFrame:
     """``keys, column, chunk``, stored; with ``count`` the distinct terms of ``column`` and their ``values``."""
     keys = list(keys)

@@ -141,3 +141,25 @@ def test_dense_neighbours_in_blocks_are_exact_and_copies_few(spark, monkeypatch)
     for i in range(50):
         order = sorted((d, j) for j, d in enumerate(((x - x[i]) ** 2).sum(1)) if j != i)[:3]
         assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in order]
+
+
+def test_both_hash_forms_in_one_pass_without_a_shuffle(spark):
+    terms = analysed(spark)
+    counts = ft.count_vectors(terms)
+    for bucket in (ft.portable_bucket, ft.term_bucket):
+        sign = 1.0 - 2.0 * bucket(F.concat(F.lit("sign:"), "term"), 2)
+        want = {}
+        for signed, value in ((False, F.col("value")), (True, sign * F.col("value"))):
+            sums = counts.groupBy(DOC, bucket(F.col("term"), 3).alias("term")).agg(F.sum(value).alias("value"))
+            want |= {(r[DOC], signed, r["term"]): round(r["value"], 12) for r in ft.normalise(sums.filter("value <> 0"), (DOC,)).collect()}
+        rows = ft.hash_forms(terms, 3, bucket=bucket, keys=(DOC,))
+        assert {(r[DOC], r["signed"], r["term"]): round(r["value"], 12) for r in rows.collect()} == want and len(want) > 6
+        one = ft.hash_vectors(terms, 3, False, bucket, (DOC,))
+        assert {(r[DOC], True, r["term"]): round(r["value"], 12) for r in one.collect()} == {k: v for k, v in want.items() if k[1]}
+        assert not any(x in one._jdf.queryExecution().toString() for x in ("Exchange", "Window"))
+
+
+def test_distinct_numbers_of_dense_and_of_sparse_ranges():
+    for many in (10, 1 << 40):
+        found, place = packed._distinct(np.array([5, 2, 5, 9]), many)
+        assert found.tolist() == [2, 5, 9] and place.tolist() == [1, 0, 1, 2]

@@ -163,3 +163,14 @@ def test_distinct_numbers_of_dense_and_of_sparse_ranges():
     for many in (10, 1 << 40):
         found, place = packed._distinct(np.array([5, 2, 5, 9]), many)
         assert found.tolist() == [2, 5, 9] and place.tolist() == [1, 0, 1, 2]
+
+
+def test_extracted_features_are_analysed_once(spark):
+    from shelfmark.plans import commands
+
+    df = spark.createDataFrame([*TEXTS, (6, "b")], f"{DOC} bigint, fulltext string")
+    parts = commands.extract_features(df, {"k": ("fulltext", "text_ngrams", 1)})
+    assert {(r[DOC], r["term"]): r["value"] for r in parts["counts"].collect()} == {
+        (1, "a"): 2.0, (1, "b"): 1.0, (2, "b"): 1.0, (2, "c"): 1.0, (5, "c"): 3.0, (5, "d"): 1.0, (6, "b"): 1.0}
+    assert [tuple(r) for r in parts["documents"].collect()] == [("k", 4)] and [tuple(r) for r in parts["sizes"].collect()] == [("k", 4)]
+    assert not any("MapInArrow" in p._jdf.queryExecution().toString() for p in parts.values())  # all read what is stored

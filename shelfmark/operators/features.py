@@ -16,6 +16,7 @@ from shelfmark.functions import items as it
 from shelfmark.functions import text as tx
 from shelfmark.operators import packed
 from shelfmark.operators.skew import DOC, dense_index, exploded, lookup_join
+from shelfmark.session import stored
 
 # Fixed value: default number of hash buckets.
 HASH_BUCKETS = 65_536
@@ -184,9 +185,12 @@ def target_words(targets: DataFrame, target: str = "target") -> DataFrame:
 
 
 def target_matches(counts: DataFrame, names: DataFrame, doc: str = DOC) -> DataFrame:
-    """``doc, target, value``: words of the document that occur in the target's name."""
-    upper = counts.groupBy(doc, F.upper("term").alias("term")).agg(F.sum("value").alias("value"))
-    hits = lookup_join(upper, names, ["term"])
+    """``doc, target, value``: words of the document that occur in the target's name.
+
+    The names are stored, so that the planner knows their size; while they are few, the documents' words are not shuffled.
+    """
+    names = stored(names, "names")
+    hits = lookup_join(counts.select(doc, F.upper("term").alias("term"), "value"), names, ["term"])
     return hits.groupBy(doc, "target").agg(F.sum("value").alias("value"))
 
 

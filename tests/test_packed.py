@@ -174,3 +174,15 @@ def test_extracted_features_are_analysed_once(spark):
         (1, "a"): 2.0, (1, "b"): 1.0, (2, "b"): 1.0, (2, "c"): 1.0, (5, "c"): 3.0, (5, "d"): 1.0, (6, "b"): 1.0}
     assert [tuple(r) for r in parts["documents"].collect()] == [("k", 4)] and [tuple(r) for r in parts["sizes"].collect()] == [("k", 4)]
     assert not any("MapInArrow" in p._jdf.queryExecution().toString() for p in parts.values())  # all read what is stored
+
+
+def test_words_are_not_shuffled_to_meet_few_target_names(spark):
+    rows = [(1, ["a", "A", "->", "x"]), (2, ["b", "x"]), (3, []), (4, None), (5, ["X"])]
+    df = spark.createDataFrame(rows, f"{DOC} bigint, terms array<string>").withColumn("kind", F.lit("k"))
+    names = ft.target_words(spark.createDataFrame([("A x",), ("a b",), ("q",)], "target string"))
+    hits = ft.target_matches(ft.count_vectors(df), names)
+    assert {(r[DOC], r["target"]): r["value"] for r in hits.collect()} == {
+        (1, "A x"): 3.0, (1, "a b"): 2.0, (2, "A x"): 1.0, (2, "a b"): 1.0, (5, "A x"): 1.0}
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "upper" in plan
+    assert hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1

@@ -142,15 +142,18 @@ def chunked(df: DataFrame, column: str, keys, count: bool = False) -> DataFrame:
 
 
 def look_up(
-    chunks: DataFrame, column: str, table: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema, by=(), term: str = "term"
+    chunks: DataFrame, column: str, table: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema, by=(), term: str = "term", tasks: int | None = None
 ) -> DataFrame:
     """``run`` over the rows of every chunk (and ``by``) and the rows of ``table`` for its terms.
 
+    With ``tasks``, the number of chunks, a task sorts about one of them, however many partitions the session has.
     ``table`` has one row per ``by, term``; terms without a row are not among the answers.
     """
     places = chunks.select("chunk", *by, F.explode(column).alias(term)).distinct()
     keys = ["chunk", *by]
     asked = lookup_join(places, table, [*by, term]).withColumnsRenamed({k: f"asked_{k}" for k in keys})
+    if tasks:
+        chunks, asked = chunks.repartition(tasks, *keys), asked.repartition(tasks, *[f"asked_{k}" for k in keys])
     return chunks.groupBy(*keys).cogroup(asked.groupBy(*[f"asked_{k}" for k in keys])).applyInArrow(run, schema)
 
 
@@ -161,8 +164,9 @@ def places_in(terms: pa.Array, known) -> np.ndarray:
 
 
 def weigh(chunks: DataFrame, idf: DataFrame, by=("kind",)) -> DataFrame:
-    """Packed counts times idf, every row of length one; terms outside the idf table are dropped."""
+    """Packed counts times idf, every row of length one; terms outside the idf table are dropped. ``chunks`` are stored."""
     names, schema = chunks.columns, chunks.schema
+    tasks = max(chunks.select("chunk").distinct().count(), 1)
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         n = docs.num_rows
@@ -177,7 +181,7 @@ def weigh(chunks: DataFrame, idf: DataFrame, by=("kind",)) -> DataFrame:
         new = {"terms": lists_of(owner, terms.take(pa.array(kept)), n), "values": lists_of(owner, pa.array(weights), n)}
         return pa.table([new.get(c, docs.column(c)) for c in names], names=names)
 
-    return look_up(chunks, "terms", idf.select(*by, "term", "idf"), run, schema, by)
+    return look_up(chunks, "terms", idf.select(*by, "term", "idf"), run, schema, by, tasks=tasks)
 
 
 def unpacked(packed: DataFrame, keys) -> DataFrame:

@@ -186,3 +186,19 @@ def test_words_are_not_shuffled_to_meet_few_target_names(spark):
     plan = hits._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "upper" in plan
     assert hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_a_task_sorts_about_one_chunk(spark, monkeypatch):
+    """The partitions follow the chunks and the lines, not the session's setting."""
+    from shelfmark.checks import fixtures as fx
+    from tests.oracle import DATA
+
+    rows = [(i, "a b") for i in range(40)]
+    terms = ft.analyse_kinds(spark.createDataFrame(rows, f"{DOC} bigint, fulltext string").repartition(5), {"k": ("fulltext", "text_ngrams", 1)})
+    assert ft.packed_tfidf(terms).rdd.getNumPartitions() == 5  # a chunk per task that counted
+    few = fx.records(spark, f"{DATA}/sf0.001")
+    monkeypatch.setattr(fx, "LINES_PER_TASK", 100)
+    many = fx.records(spark, f"{DATA}/sf0.001")
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    lines = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").count()
+    assert f", {lines // 100 + 1}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()

@@ -202,3 +202,47 @@ def test_a_task_sorts_about_one_chunk(spark, monkeypatch):
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
     lines = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").count()
     assert f", {lines // 100 + 1}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_pass_by_what_a_task_holds(spark):
+    """Every part of one side meets every part of the other; a row is sent to Python once per part it meets."""
+    import pyarrow as pa
+
+    from shelfmark.operators.products import stream
+
+    rows = spark.range(0, 10, 1, 3).withColumnRenamed("id", "a")
+    held = spark.range(0, 7).select(F.col("id").alias("b"), (F.col("id") % 2).cast("int").alias("part")).repartitionById(2, "part")
+
+    def run(kept, passing):
+        found = [r["a"] for r in passing]
+        yield pa.RecordBatch.from_arrays([pa.array([kept[0]["part"]]), pa.array([sorted(k["b"] for k in kept)]), pa.array([found])], names=["part", "b", "a"])
+
+    result = stream(rows, held, run, "part bigint, b array<bigint>, a array<bigint>")
+    got = sorted(map(tuple, result.collect()))
+    assert got == [(p, [b for b in range(7) if b % 2 == p], a) for p in (0, 1) for a in ([0, 1, 2], [3, 4, 5], [6, 7, 8, 9])]
+    assert stream(rows.filter("a < 0"), held, run, result.schema).collect() == []
+    plan = result._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1  # only what is held is dealt out
+
+
+def test_a_power_step_moves_the_vectors_only_twice(spark, monkeypatch):
+    """However many blocks of terms there are, neither cells nor sums per block are shuffled."""
+    from shelfmark.operators import embeddings as em
+
+    monkeypatch.setattr(em, "RUN", 8)
+    monkeypatch.setattr(em, "DIAGONAL", 8)
+    rng = np.random.default_rng(5)
+    x = rng.random((30, 12)) * (rng.random((30, 12)) < 0.5) + np.eye(30, 12)
+    terms = spark.createDataFrame([(i, f"t{j}", float(v)) for (i, j), v in np.ndenumerate(x) if v], f"{DOC} bigint, term string, value double")
+    packed_rows, docs = em._numbered(em.pack(terms).repartition(3))
+    places, _, _ = em._places(packed_rows, "no")
+    rows = em._rows(em.project(packed_rows.select("no", "terms", "values"), 5), 5)
+    at = lambda df: np.concatenate([np.frombuffer(r["matrix"]).reshape(-1, 5)[np.argsort(np.frombuffer(r["docs"], np.int32))] for r in sorted(df.collect(), key=lambda r: r["run"])])
+    order = {r["no"]: r[DOC] for r in packed_rows.select("no", DOC).collect()}
+    own, basis, found = x[[order[i] for i in range(docs)]], rng.random((5, 5)), []
+    signs_ = np.stack([signs(f"t{j}", 5) for j in range(12)])
+    for n in (1, 7):
+        parts = em._power(em._blocks(places, n), rows, basis, 2, docs, 5)
+        found.append(at(em._assembled(parts, 2)))
+        assert parts.count() == 3 * -(-docs // 8) and "CoGroup" not in parts._jdf.queryExecution().sparkPlan().toString()
+        assert np.allclose(found[-1], own @ (own.T @ (own @ signs_ @ basis)))

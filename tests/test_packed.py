@@ -246,3 +246,23 @@ def test_a_power_step_moves_the_vectors_only_twice(spark, monkeypatch):
         found.append(at(em._assembled(parts, 2)))
         assert parts.count() == 3 * -(-docs // 8) and "CoGroup" not in parts._jdf.queryExecution().sparkPlan().toString()
         assert np.allclose(found[-1], own @ (own.T @ (own @ signs_ @ basis)))
+
+
+def test_pulls_do_not_grow_with_the_chunks(spark, monkeypatch):
+    """A task sends one matrix of pulls per block of terms and columns for all of its chunks; a term without a weight counts nothing."""
+    from shelfmark.operators import linear
+
+    monkeypatch.setattr(linear, "CHUNK_CELLS", 1)
+    monkeypatch.setattr(linear, "MAX_TASKS", 2)
+    seen, plain = [], linear.stream
+    monkeypatch.setattr(linear, "stream", lambda *a: seen.append(plain(*a)) or seen[-1])
+    docs = spark.createDataFrame([(f, i, "ab"[i % 2]) for f in (0, 1) for i in range(24)], f"fold int, {DOC} bigint, target string")
+    terms = spark.createDataFrame([(i, f"t{(i + j) % 5}", 0.5) for i in range(24) for j in range(i % 3)], f"{DOC} bigint, term string, value double")
+    for fit in (linear.fit, linear.fit_stochastic):
+        weights = fit(terms, docs, "log", 1e-3, 2)
+        assert weights.count() == 2 * 6 * 2
+        assert len(seen) == 2 and all(1 <= p.count() <= 2 for p in seen)
+        seen.clear()
+    more = terms.unionByName(spark.createDataFrame([(0, "unknown", 9.0), (3, "unknown", 9.0)], terms.schema))
+    margins = lambda t: {(r["fold"], r[DOC], r["target"]): round(r["margin"], 9) for r in linear.packed_margins(weights, t, docs).collect()}
+    assert margins(more) == margins(terms) and len(margins(terms)) == 2 * 24 * 2

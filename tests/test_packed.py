@@ -266,3 +266,28 @@ def test_pulls_do_not_grow_with_the_chunks(spark, monkeypatch):
     more = terms.unionByName(spark.createDataFrame([(0, "unknown", 9.0), (3, "unknown", 9.0)], terms.schema))
     margins = lambda t: {(r["fold"], r[DOC], r["target"]): round(r["margin"], 9) for r in linear.packed_margins(weights, t, docs).collect()}
     assert margins(more) == margins(terms) and len(margins(terms)) == 2 * 24 * 2
+
+
+def test_tfidf_of_all_folds_stays_packed(spark, monkeypatch):
+    """Cross-validated naive Bayes on tf-idf as from long rows, without a row per document, term and fold."""
+    from shelfmark.operators import bayes
+    from shelfmark.plans import commands
+
+    texts = [(i, " ".join("abcdefg"[(i * j) % 7] for j in range(1, 5 + i % 3)) if i % 5 else " " * (i % 2)) for i in range(24)]
+    df = spark.createDataFrame([*texts, (99, "q q")], f"{DOC} bigint, fulltext string")
+    docs = spark.createDataFrame([(i, "xyz"[i % 4 % 3], i % 3) for i in (*range(24), 99)], f"{DOC} bigint, target string, fold int")
+    kinds = {"k": ("fulltext", "text_ngrams", 1)}
+    counts = ft.count_vectors(ft.analyse_kinds(df, kinds)).drop("kind")
+    mine = docs.join(counts.select(DOC).distinct(), DOC, "left_semi")
+    want = {}
+    for fold in range(3):
+        learn, asked = mine.filter(F.col("fold") != fold).withColumn("fold", F.lit(fold)), mine.filter(F.col("fold") == fold)
+        rows, tests = (counts.join(d.select("fold", DOC), DOC) for d in (learn, asked))
+        idf = ft.inverse_frequencies(rows, learn.groupBy("fold").agg(F.count(F.lit(1)).alias("n_docs")), ("fold",))
+        rows, tests = (ft.tfidf(r, idf, ("fold",), (DOC, "fold")) for r in (rows, tests))
+        want |= {(r[DOC], r["target"]): r["confidence"] for r in bayes.score(bayes.fit(*bayes.class_sums(rows, learn)), tests, asked).collect()}
+    for name in ("tfidf", "normalise", "count_vectors"):
+        monkeypatch.setattr(ft, name, None)
+    got = commands.cross_fold_scores(df, docs, 3, commands.Classifier("k", vectors="tfidf"), kinds)
+    got = {(r[DOC], r["target"]): r["confidence"] for r in got.collect()}
+    assert len(got) > 40 and {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}

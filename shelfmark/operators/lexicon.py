@@ -138,10 +138,11 @@ def preprocess(
     start = F.col(text)
     if not lemmas:
         start = F.array_join(tx.remove_words(tx.words(start), stop_words, min_length), " ")
-    out = df.withColumn("_tokens", tx.separate_signs(start))
+    # only whether the text is empty is still asked behind the lookup: the text itself need not be stored and shuffled with its tokens
+    out = df.withColumns({"_tokens": tx.separate_signs(start), "_empty": F.coalesce(F.col(text) == "", F.lit(False))}).drop(text)
     if only:
         out = keep_parts_of_speech(out, "_tokens", lexicon, only, lemmas, doc)
     elif lemmas:
         out = lemmatise(out, "_tokens", lexicon, doc)
     cleaned = tx.finish_text("_tokens", stop_words, min_length, max_length, to_ascii, case)
-    return out.withColumn(text, F.when(F.col(text) == "", F.col(text)).otherwise(cleaned)).select(*df.columns)
+    return out.withColumn(text, F.when(F.col("_empty"), F.lit("")).otherwise(cleaned)).select(*df.columns)

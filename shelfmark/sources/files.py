@@ -31,7 +31,8 @@ def number_lines(scan: DataFrame, name: str = DOC) -> DataFrame:
     rows = _with_line_order(scan)
     splits = rows.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     splits = splits.withColumn("_before", F.sum("_n").over(Window.orderBy("_file", "_split")) - F.col("_n"))
-    numbered = rows.join(splits.drop("_n"), ["_file", "_split"])
+    # one row per input split; without the hint the lines are shuffled before the size of the other side is known
+    numbered = rows.join(F.broadcast(splits.drop("_n")), ["_file", "_split"])
     return numbered.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).select(name, *scan.columns)
 
 

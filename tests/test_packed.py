@@ -291,3 +291,32 @@ def test_tfidf_of_all_folds_stays_packed(spark, monkeypatch):
     got = commands.cross_fold_scores(df, docs, 3, commands.Classifier("k", vectors="tfidf"), kinds)
     got = {(r[DOC], r["target"]): r["confidence"] for r in got.collect()}
     assert len(got) > 40 and {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_a_text_is_not_stored_beside_its_tokens(spark, monkeypatch):
+    """Only its tokens meet the lexicon; empty, blank and missing texts stay what they were."""
+    from shelfmark.operators import lexicon as lx
+
+    seen, plain = [], lx.chunked
+    monkeypatch.setattr(lx, "chunked", lambda df, *a, **k: seen.append(df.columns) or plain(df, *a, **k))
+    df = spark.createDataFrame([(1, "x y, x", "m"), (2, "", "n"), (3, " ", "o"), (4, None, "p")], f"{DOC} bigint, fulltext string, more string")
+    lexicon = spark.createDataFrame([("x", "X1", "N")], "form string, lemma string, tag string")
+    rows = lx.preprocess(df, lexicon=lexicon, lemmas=True)
+    assert rows.columns == df.columns and seen == [[DOC, "more", "_tokens", "_empty"]]
+    assert {r[DOC]: (r["fulltext"], r["more"]) for r in rows.collect()} == {1: ("X1 y , X1", "m"), 2: ("", "n"), 3: ("", "o"), 4: ("", "p")}
+
+
+def test_lines_are_numbered_without_a_shuffle_of_them(spark):
+    from shelfmark.session import scratch_path
+    from shelfmark.sources import files
+
+    path = scratch_path(spark, "lines.txt")
+    spark.range(0, 40, 1, 4).select(F.col("id").cast("string")).write.text(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = files.number_lines(files.scan_texts(spark, path))
+        assert sorted(r[DOC] for r in rows.collect()) == list(range(40))
+        assert "BroadcastHashJoin" in rows._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
